@@ -280,40 +280,28 @@ def is_shortener(host, hosts=fixed.SHORTENERS) -> Column:
     return h.isin(list(hosts))
 
 
-# IPv4 blocks that are not public, as (first, last) numbers
-_NON_PUBLIC_V4 = [
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
-    "192.0.0.0/29", "192.0.0.8/32", "192.0.0.11/32", "192.0.0.12/30", "192.0.0.16/28",
-    "192.0.0.32/27", "192.0.0.64/26", "192.0.0.128/25", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15",
-    "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
-]
-
-
 def ipv4_number(c) -> Column:
     """Dotted IPv4 text as a number, NULL when it is not one."""
     c = col(c)
-    octet = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-    ok = c.rlike(rf"^{octet}(\.{octet}){{3}}$")
+    ok = c.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$")
     part = lambda i: F.try_element_at(F.split(c, r"\."), F.lit(i)).try_cast("long")
     number = part(1) * 16777216 + part(2) * 65536 + part(3) * 256 + part(4)
     return F.when(ok, number)
 
 
-def v4_block(cidr):
-    """``a.b.c.d/n`` -> (first, last, n)."""
-    base, bits = cidr.split("/")
-    first = sum(int(x) << (24 - 8 * i) for i, x in enumerate(base.split(".")))
-    return first, first + (1 << (32 - int(bits))) - 1, int(bits)
+# text form of the IPv4 blocks that are not public
+_OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_NON_PUBLIC = "^(?:" + "|".join([
+    r"(?:0|10|127)\.", r"(?:22[4-9]|2[3-5][0-9])\.", r"169\.254\.", r"172\.(?:1[6-9]|2[0-9]|3[01])\.",
+    r"192\.168\.", r"192\.0\.0\.(?!(?:9|10)$)", r"192\.0\.2\.", r"198\.1[89]\.", r"198\.51\.100\.",
+    r"203\.0\.113\.",
+]) + ")"
 
 
 def is_public_ipv4(c) -> Column:
     """True for a public IPv4 literal, False for anything else."""
-    n = ipv4_number(c)
-    blocked = F.lit(False)
-    for cidr in _NON_PUBLIC_V4:
-        first, last, _ = v4_block(cidr)
-        blocked = blocked | n.between(first, last)
-    return F.coalesce(n.isNotNull() & ~blocked, F.lit(False))
+    c = col(c)
+    return F.coalesce(c.rlike(rf"^{_OCTET}(\.{_OCTET}){{3}}$") & ~c.rlike(_NON_PUBLIC), F.lit(False))
 
 
 def brand_flags(hay, hay_deleet, registered, brands, domains):
