@@ -10,6 +10,7 @@ from checks.urls import domain_sql, parts_sql
 from lurewatch import fixed
 from lurewatch.dims import Dims, apply_approved
 from lurewatch.functions import urls as U
+from lurewatch.functions.common import strings
 from lurewatch.operators import joins as J
 from lurewatch.operators import lookalike as L
 from lurewatch.operators import scans as S
@@ -35,9 +36,10 @@ NEAR = ("length(b) >= 5 AND length({l}) >= 5 AND abs(length({l}) - length(b)) <=
 PLATFORM = f"""plat_(p) AS (SELECT unnest({sql_list(D.rule_platforms)})),
  pl AS (SELECT d.*, (SELECT arg_max(p, length(p)) FROM plat_ WHERE host = p OR ends_with(host, '.' || p)) AS platform FROM dom d)"""
 
-VERDICT = rf"""WITH {BRANDS}, legit_(d) AS (SELECT unnest({sql_list(D.legit_domains)})),
+def verdict_sql(src):
+    return rf"""WITH {BRANDS}, legit_(d) AS (SELECT unnest({sql_list(D.legit_domains)})),
  {values("known_", "d, why", list(D.known_legitimate.items()))},
- {parts_sql(PROBE)}, {domain_sql()}, {PLATFORM},
+ {parts_sql(src)}, {domain_sql()}, {PLATFORM},
  u AS (SELECT page_id, host, path, platform, list_last(string_split(suffix, '.')) AS tld,
    coalesce(platform, registered) AS reg,
    CASE WHEN platform IS NULL THEN subdomain WHEN host = platform THEN '' ELSE left(host, length(host) - length(platform) - 1) END AS sub,
@@ -82,6 +84,9 @@ VERDICT = rf"""WITH {BRANDS}, legit_(d) AS (SELECT unnest({sql_list(D.legit_doma
    ELSE 'No lookalike pattern detected.' END AS reason FROM w"""
 
 
+VERDICT = verdict_sql(PROBE)
+
+
 def _verdicts(spark, sf):
     return L.lookalike_verdicts(probe_urls(spark, sf))
 
@@ -101,12 +106,16 @@ def aggregate_only_log(spark, sf):
     return L.aggregate_only_log(_verdicts(spark, sf)).groupBy("is_lookalike", "rule").agg(F.count("*").alias("n"))
 
 
-@query("self_audit", f"SELECT DISTINCT v.rule, v.brand, regexp_extract(p.url, '^https?://([^/?#]+)', 1) AS host FROM ({VERDICT}) v JOIN ({PROBE}) p USING (page_id) "
-       "WHERE v.page_id < 0")
+# the brands' own domains plus two that are not, as often as pages exist
+AUDITED = sorted(d for d in D.legit_domains if "." in d) + ["paypal-login.top", "netfl1x.com"]
+AUDIT_SRC = f"SELECT page_id, 'https://' || {sql_list(AUDITED)}[page_id % {len(AUDITED)} + 1] || '/' AS url FROM pages"
+
+
+@query("self_audit", f"""SELECT DISTINCT rule, brand, {sql_list(AUDITED)}[page_id % {len(AUDITED)} + 1] AS host
+ FROM ({verdict_sql(AUDIT_SRC)}) WHERE is_lookalike""")
 def self_audit(spark, sf):
-    """The brands' own domains, as often as pages exist: none may be flagged."""
-    good = sorted(d for d in D.legit_domains if "." in d)
-    hosts = table(spark, sf, "pages").select(F.get(F.array(*[F.lit(d) for d in good]), (F.col("page_id") % len(good)).cast("int")).alias("host"))
+    hosts = table(spark, sf, "pages").select(
+        F.get(strings(AUDITED), (F.col("page_id") % len(AUDITED)).cast("int")).alias("host"))
     return L.self_audit(hosts).select("rule", "brand", "host").distinct()
 
 

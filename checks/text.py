@@ -223,7 +223,7 @@ COEF = """SELECT token, CAST(length(token) % 7 AS DOUBLE) / CAST(4.0 AS DOUBLE)
  SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[{w}]+'), lambda x: x <> '')) AS token FROM benchmark)""".replace("{w}", WS)
 ATTR = f"""coef AS ({COEF}), wd AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[{WS}]+'), lambda x: x <> '')) AS token FROM documents),
  ct AS (SELECT doc_id, token, count(*) AS n FROM wd GROUP BY 1, 2),
- at AS (SELECT doc_id, token, coef * (n - mean) AS value FROM ct JOIN coef USING (token))"""
+ att AS (SELECT doc_id, token, coef * (n - mean) AS value FROM ct JOIN coef USING (token))"""
 
 
 def _attributions(spark, sf):
@@ -232,13 +232,13 @@ def _attributions(spark, sf):
     return WN.attribute_tokens(table(spark, sf, "documents"), coef)
 
 
-@query("attribute_tokens", f"WITH {ATTR} SELECT doc_id, token, round(value, 6) AS value FROM at")
+@query("attribute_tokens", f"WITH {ATTR} SELECT doc_id, token, round(value, 6) AS value FROM att")
 def attribute_tokens(spark, sf):
     return _attributions(spark, sf).select("doc_id", "token", r6("value").alias("value"))
 
 
 @query("top_tokens", rf"""WITH {ATTR},
- f AS (SELECT doc_id, token, value, CASE WHEN value > 0 THEN 'risky' ELSE 'safe' END AS side FROM at
+ f AS (SELECT doc_id, token, value, CASE WHEN value > 0 THEN 'risky' ELSE 'safe' END AS side FROM att
   WHERE length(token) >= 3 AND NOT regexp_matches(token, '[^\x00-\x7F]') AND regexp_matches(token, '[A-Za-z]') AND value <> 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, side ORDER BY abs(value) DESC, token) AS rank, max(abs(value)) OVER (PARTITION BY doc_id, side) AS m FROM f)
  SELECT doc_id, side, rank, token, round(value, 6) AS value, round(100.0 * abs(value) / m, 1) AS weight FROM r WHERE rank <= 5""")

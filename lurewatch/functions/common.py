@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,16 @@ def flag(cond) -> Column:
 def ratio(num, den) -> Column:
     """num / max(den, 1)."""
     return num.cast("double") / F.greatest(den.cast("double"), F.lit(1.0))
+
+
+def sealed(df: DataFrame, keep, columns: dict) -> DataFrame:
+    """``keep`` plus computed columns that filters are not pushed through.
+
+    A filter on a column that is built in many steps would otherwise be
+    rewritten in terms of the raw input, and the optimizer would copy every
+    step into it.  The columns are therefore produced by a one-element
+    ``inline``, which is row-local and compiled like a projection.  Filters on
+    the kept columns still reach the scan.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*keep, F.inline(F.array(row)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch import fixed
-from lurewatch.functions.common import alternation, col, count_of, count_re, flag, ratio, strings
+from lurewatch.functions.common import alternation, col, count_of, count_re, flag, ratio, sealed
 
 IPV4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 
@@ -131,7 +131,7 @@ def with_domain(df: DataFrame, host="u_host", prefix="u_", suffixes=fixed.MULTI_
     The longest listed suffix wins; otherwise the last label is the suffix.
     IP addresses and single labels have no registered domain.
     """
-    p = prefix
+    p, given = prefix, df.columns
     h = F.rtrim(F.col(host), F.lit("."))
     n_labels = count_of(h, ".") + 1
     df = df.withColumn(p + "suffix_n", suffix_labels(h, suffixes))
@@ -151,7 +151,8 @@ def with_domain(df: DataFrame, host="u_host", prefix="u_", suffixes=fixed.MULTI_
         F.when(F.col(p + "label") == "", F.col(p + "suffix")).otherwise(F.col(p + "label")))
     sub = F.when(F.length(h) > F.length(whole),
                  F.substring(h, F.lit(1), F.length(h) - F.length(whole) - 1)).otherwise("")
-    return df.withColumn(p + "subdomain", sub).drop(p + "suffix_n")
+    return sealed(df, given, {p + "registered": reg, p + "label": F.col(p + "label"),
+                              p + "suffix": F.col(p + "suffix"), p + "subdomain": sub})
 
 
 def registered_domain(df: DataFrame, c="url", out="registered", suffixes=fixed.MULTI_SUFFIXES) -> DataFrame:

@@ -16,7 +16,7 @@ from lurewatch import fixed
 from lurewatch.dims import Dims
 from lurewatch.functions import urls as U
 from lurewatch.functions.calc import age_days, safe_div
-from lurewatch.functions.common import col, strings
+from lurewatch.functions.common import col, sealed, strings
 
 # A side is broadcast only if its row count is known to stay below this.
 BROADCAST_ROWS = 200_000
@@ -241,9 +241,11 @@ def typosquats(brands: DataFrame) -> DataFrame:
     country = F.transform(strings(fixed.SQUAT_COUNTRY), lambda s: F.concat(b, F.lit("."), s))
     families = {"leet": leet, "doubled": doubled, "dropped": dropped, "swapped": swapped, "affix": affix,
                 "alt_tld": alt, "subdomain": sub, "country": country}
-    tagged = F.flatten(F.array(*[
-        F.transform(F.array_compact(v), lambda h, f=f: F.struct(F.lit(f).alias("family"), h.alias("host")))
-        for f, v in families.items()]))
+
+    def tag(name):
+        return lambda h: F.struct(F.lit(name).alias("family"), h.alias("host"))
+
+    tagged = F.flatten(F.array(*[F.transform(F.array_compact(v), tag(f)) for f, v in families.items()]))
     # a two-letter brand has no inner characters
     rows = brands.select("brand", F.explode(tagged).alias("t")).filter(
         ~((F.length("brand") < 3) & F.col("t.family").isin("doubled", "dropped", "swapped")))

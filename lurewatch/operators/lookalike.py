@@ -15,7 +15,7 @@ from lurewatch import fixed
 from lurewatch.dims import Dims
 from lurewatch.functions import hosts as H
 from lurewatch.functions import urls as U
-from lurewatch.functions.common import alternation, col, strings
+from lurewatch.functions.common import alternation, col, sealed, strings
 
 
 # ---------------------------------------------------------------- platforms
@@ -32,15 +32,15 @@ def platform_of(host, platforms) -> Column:
     return out
 
 
-def resolve_platform(df: DataFrame, host="host", dims: Dims | None = None) -> DataFrame:
-    """Add ``platform`` and ``platform_sub`` (both NULL off the platforms)."""
+def resolve_platform(df: DataFrame, host="host", dims: Dims | None = None,
+                     out="platform", sub_out="platform_sub") -> DataFrame:
+    """Add the platform and the sub-domain on it (both NULL off the platforms)."""
     dims = dims or Dims()
     h = F.ltrim(F.lower(F.coalesce(F.col(host), F.lit(""))), F.lit("."))
-    df = df.withColumn("platform", platform_of(host, dims.rule_platforms))
-    sub = F.when(h == F.col("platform"), "").when(
-        F.col("platform").isNotNull(),
-        F.substring(h, F.lit(1), F.length(h) - F.length("platform") - 1))
-    return df.withColumn("platform_sub", sub)
+    df = df.withColumn(out, platform_of(host, dims.rule_platforms))
+    sub = F.when(h == F.col(out), "").when(
+        F.col(out).isNotNull(), F.substring(h, F.lit(1), F.length(h) - F.length(out) - 1))
+    return df.withColumn(sub_out, sub)
 
 
 # ------------------------------------------------------------ brand matches
@@ -130,13 +130,14 @@ def lookalike_verdicts(df: DataFrame, c="url", dims: Dims | None = None,
     then reported by the generic internationalised-host rule).
     """
     dims = dims or Dims()
+    given = df.columns
     df = U.with_domain(U.with_url_parts(df, c, "_l_"), "_l_host", "_l_", dims.suffixes)
-    df = resolve_platform(df, "_l_host", dims)
-    plat = F.col("platform")
+    df = resolve_platform(df, "_l_host", dims, "_l_platform", "_l_platform_sub")
+    plat = F.col("_l_platform")
     df = df.select(
         *[x for x in df.columns if x not in ("_l_registered", "_l_subdomain", "_l_label")],
         F.coalesce(plat, "_l_registered").alias("_l_registered"),
-        F.when(plat.isNotNull(), F.coalesce("platform_sub", F.lit(""))).otherwise(F.col("_l_subdomain")).alias("_l_subdomain"),
+        F.when(plat.isNotNull(), F.coalesce("_l_platform_sub", F.lit(""))).otherwise(F.col("_l_subdomain")).alias("_l_subdomain"),
         F.when(plat.isNotNull(), F.substring_index(plat, ".", 1)).otherwise(F.col("_l_label")).alias("_l_label"),
         F.substring_index("_l_suffix", ".", -1).alias("_l_tld"),
     )
@@ -202,12 +203,12 @@ def lookalike_verdicts(df: DataFrame, c="url", dims: Dims | None = None,
     rule = (F.when(step1.isNotNull(), step1)
             .when(b3.isNotNull(), "R3")
             .when(b4.isNotNull(), "R4")
-            .when(b5.isNotNull() & U.in_list("platform", dims.code_hosts) & (fsub == b5), "R0-org")
+            .when(b5.isNotNull() & U.in_list("_l_platform", dims.code_hosts) & (fsub == b5), "R0-org")
             .when(b5.isNotNull() & on, "R5-platform")
             .when(b5.isNotNull(), "R5")
             .when(b6.isNotNull(), "R6"))
-    df = df.withColumn("rule", rule)
-    rule = F.col("rule")
+    df = df.withColumn("_l_rule", rule)
+    rule = F.col("_l_rule")
     named = F.coalesce("_l_b1", "_l_b3", "_l_b4", "_l_b5", "_l_b6")
     df = df.withColumn("_l_named", named)
     named = F.col("_l_named")
@@ -221,7 +222,7 @@ def lookalike_verdicts(df: DataFrame, c="url", dims: Dims | None = None,
     flagged = F.coalesce(rule.isin("R1", "R2", "R3", "R4", "R5-platform", "R5", "R6"), F.lit(False))
     why = strings(list(dims.known_legitimate.values()))
     known = F.get(why, F.array_position(strings(list(dims.known_legitimate)), reg).cast("int") - 1)
-    parts = F.concat_ws(
+    signs = F.concat_ws(
         " and ",
         F.when(swapped(named), F.lit("with character substitution")),
         F.when(susp, F.concat(F.lit("on a low-reputation '."), tld, F.lit("' domain"))),
@@ -234,7 +235,7 @@ def lookalike_verdicts(df: DataFrame, c="url", dims: Dims | None = None,
         .when(rule == "R1", "Internationalised/punycode domain -- verify carefully.")
         .when(rule == "R2", F.concat(F.lit("Domain "), q(label),
                                      F.lit(" is a character-substituted imitation of "), q(named), F.lit(".")))
-        .when(rule == "R3", F.concat(q(named), F.lit(" appears in the domain "), q(reg), F.lit(" "), parts,
+        .when(rule == "R3", F.concat(q(named), F.lit(" appears in the domain "), q(reg), F.lit(" "), signs,
                                      F.lit(", and this domain is not owned by "), named, F.lit(".")))
         .when(rule == "R4", F.concat(F.lit("Domain "), q(label), F.lit(" is "),
                                      F.levenshtein(flabel, named).cast("string"),
@@ -250,13 +251,10 @@ def lookalike_verdicts(df: DataFrame, c="url", dims: Dims | None = None,
                                      q(reg), F.lit(".")))
         .when(rule == "R6", F.concat(q(named), F.lit(" referenced on a low-reputation '."), tld, F.lit("' domain.")))
         .otherwise("No lookalike pattern detected."))
-    df = df.select("*", flagged.alias("is_lookalike"),
-                   confidence.cast("double").alias("confidence"),
-                   F.when(flagged, named).alias("brand"), reason.alias("reason"))
-    drop = [x for x in df.columns if x.startswith("_l_")]
-    if keep_parts:
-        df = df.withColumns({x: F.col("_l_" + x) for x in ("host", "registered", "subdomain", "label", "path")})
-    return df.drop("platform", "platform_sub", *drop)
+    parts = ("host", "registered", "subdomain", "label", "path") if keep_parts else ()
+    return sealed(df, given, {
+        "is_lookalike": flagged, "confidence": confidence.cast("double"), "brand": F.when(flagged, named),
+        "reason": reason, "rule": rule, **{x: F.col("_l_" + x) for x in parts}})
 
 
 def verdicts_by_rule(verdicts: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lurewatch import fixed
 from lurewatch.functions import text as T
+from lurewatch.functions.common import sealed
 from lurewatch.operators.sampling import first_per_key, oversample, stratified_split, union_all
 from lurewatch.operators.windows import cap_per_group, dedupe_first
 
@@ -22,6 +23,8 @@ def review_candidates(mails: DataFrame, name=None, email=None, min_len=150, norm
         T.sender_domain("from_hdr").alias("sender_domain"),
         T.redact(T.clean_text("body", normalize), name, email).alias("body"),
         T.redact(T.clean_text("subject", normalize), name, email).alias("subj"))
+    # cleaned once per mail, not again inside every test below
+    rows = sealed(rows, ["msg_idx"], {c: F.col(c) for c in ("sender_domain", "body", "subj")})
     return rows.filter((F.length("body") >= min_len) & ~T.is_boilerplate("body"))
 
 
@@ -57,7 +60,7 @@ def training_set(frames, reviewed: DataFrame, times=15, oversample_first=True, m
     if oversample_first:
         extra = oversample(extra, times).drop("copy")
     rows = drop_short(union_all([*tagged, extra]))
-    rows = drop_short(rows.withColumn("text", T.normalize_mail("text", max_chars=max_chars)))
+    rows = drop_short(sealed(rows, ["label", "source_ord"], {"text": T.normalize_mail("text", max_chars=max_chars)}))
     rows = first_per_key(rows.withColumn("key", F.sha2("text", 256)), "key", ["source_ord", "label"])
     if not oversample_first:
         rows = oversample(rows, times, F.col("source_ord") == len(frames)).drop("copy")

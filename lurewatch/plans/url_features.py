@@ -8,16 +8,13 @@ from pyspark.sql import functions as F
 from lurewatch import fixed
 from lurewatch.dims import Dims
 from lurewatch.functions import urls as U
-from lurewatch.functions.common import col, count_of, flag, ratio
-
-
-def _drop_prefix(df: DataFrame, prefix: str) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+from lurewatch.functions.common import col, count_of, flag, ratio, sealed
 
 
 def url_features_v2(df: DataFrame, c="url", dims: Dims | None = None) -> DataFrame:
     """Add the 37 string-only features (``fixed.FEATURES_V2``) as doubles."""
     dims = dims or Dims()
+    given = df.columns
     df = U.with_domain(U.with_url_parts(df, c, "_f_"), "_f_host", "_f_", dims.suffixes)
     df = df.withColumn("_f_labels", U.sub_labels("_f_subdomain"))
     df = df.withColumn("_f_sub", F.array_join("_f_labels", "."))
@@ -77,8 +74,7 @@ def url_features_v2(df: DataFrame, c="url", dims: Dims | None = None) -> DataFra
         "qty_subdomain_digits_runs": U.digit_runs(sub),
     }
     bad = U.unparsable("_f_netloc")
-    df = df.select("*", *[safe(bad, feats[n].cast("double"), 0.0).alias(n) for n in fixed.FEATURES_V2])
-    return _drop_prefix(df, "_f_")
+    return sealed(df, given, {n: safe(bad, feats[n].cast("double"), 0.0) for n in fixed.FEATURES_V2})
 
 
 def safe(bad: Column, value: Column, fill: float) -> Column:
@@ -88,6 +84,7 @@ def safe(bad: Column, value: Column, fill: float) -> Column:
 
 def url_features_v1_lexical(df: DataFrame, c="url", suffixes=fixed.MULTI_SUFFIXES) -> DataFrame:
     """Add the 15 lexical features of the first model as doubles."""
+    given = df.columns
     df = U.with_url_parts(df, c, "_g_", ci=False, strip=False)
     df = U.with_domain(df, "_g_host", "_g_", suffixes)
     path = F.col("_g_path")
@@ -101,9 +98,7 @@ def url_features_v1_lexical(df: DataFrame, c="url", suffixes=fixed.MULTI_SUFFIXE
     feats += [count_of(d, ch) for ch in "./=@&%"] + [F.length(d)]
     feats += [count_of(f, ch) for ch in "-+$"] + [F.length(f)]
     bad = U.unparsable("_g_netloc")
-    df = df.select("*", *[safe(bad, x.cast("double"), -1.0).alias(n)
-                          for n, x in zip(fixed.FEATURES_V1, feats)])
-    return _drop_prefix(df, "_g_")
+    return sealed(df, given, {n: safe(bad, x.cast("double"), -1.0) for n, x in zip(fixed.FEATURES_V1, feats)})
 
 
 def degraded_features(names=fixed.NETWORK_FEATURES) -> Column:
