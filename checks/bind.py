@@ -97,7 +97,7 @@ def scans(spark, sf_dir):
         F.col("value").alias("confidence"), hit.alias("is_phishing"),
         F.lit(None).cast("string").alias("shap_explanation"),
         F.when(F.col("event_id") % 3 == 0, "extension").otherwise("web").alias("source"),
-        F.col("ts").alias("created_at"))
+        F.col("ts").cast("timestamp").alias("created_at"))
 
 
 SCANS = """SELECT event_id AS id, user_id,
@@ -129,7 +129,7 @@ USERS = """SELECT c_custkey AS id, c_mktsegment AS first_name, c_name AS last_na
 def request_log(spark, sf_dir):
     """Events on a clock 600 times faster, so that windows fill up."""
     base = 1704067200  # 2024-01-01
-    micros = F.lit(base * 1_000_000) + F.floor((F.unix_micros("ts") - base * 1_000_000) / 600)
+    micros = F.lit(base * 1_000_000) + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - base * 1_000_000) / 600)
     return table(spark, sf_dir, "events").select(
         F.timestamp_micros(micros).alias("ts"), F.col("event_id").cast("string").alias("request_id"),
         F.concat(F.lit("/"), F.col("event_type")).alias("path"), F.lit("POST").alias("method"),

@@ -47,20 +47,25 @@ def fresh_domain(age, days=30):
             F.when(age >= 0, age.cast("long")))
 
 
+def micros(c) -> Column:
+    """Microseconds since 1970; also for timestamps without a zone (UTC)."""
+    return F.unix_micros(col(c).cast("timestamp"))
+
+
 def seconds_between(a, b) -> Column:
     """b - a in seconds, fractions kept."""
-    return (F.unix_micros(col(b)) - F.unix_micros(col(a))) / 1e6
+    return (micros(b) - micros(a)) / 1e6
 
 
 def age_days(then, now) -> Column:
     """Whole days from ``then`` to ``now``, rounded down."""
-    return F.floor((F.unix_micros(col(now)) - F.unix_micros(col(then))) / F.lit(86_400_000_000)).cast("long")
+    return F.floor((micros(now) - micros(then)) / F.lit(86_400_000_000)).cast("long")
 
 
 def iso(c) -> Column:
     """ISO text of a timestamp; fractions only when there are any."""
     c = col(c)
-    return F.when(F.unix_micros(c) % 1_000_000 == 0, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")) \
+    return F.when(micros(c) % 1_000_000 == 0, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")) \
             .otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
 
 

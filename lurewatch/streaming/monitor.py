@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lurewatch.fixed import LATENCY_BUCKETS
-from lurewatch.functions.calc import safe_div
+from lurewatch.functions.calc import micros, safe_div
 from lurewatch.operators.sampling import union_all
 
 # requests per client and route; routes with their own limit replace these
@@ -53,7 +53,7 @@ def over_limit(log: DataFrame, routes=None, default=None) -> DataFrame:
 def request_rates(log: DataFrame, by="status", length="1 minute") -> DataFrame:
     """Requests per second in tumbling windows, by status or path."""
     counts = log.groupBy(F.window("ts", length), by).agg(F.count("*").alias("n"))
-    secs = (F.unix_micros("window.end") - F.unix_micros("window.start")) / 1e6
+    secs = (micros("window.end") - micros("window.start")) / 1e6
     return _ends(counts, by, "n", (F.col("n") / secs).alias("per_second"))
 
 
@@ -136,7 +136,7 @@ def gaps(log: DataFrame, seconds=60) -> DataFrame:
     """
     per = log.groupBy(F.date_trunc("minute", "ts").alias("m")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
     per = per.withColumn("down_from", F.lag("last").over(W.orderBy("m")))
-    length = (F.unix_micros("first") - F.unix_micros("down_from")) / 1e6
+    length = (micros("first") - micros("down_from")) / 1e6
     return (per.select("down_from", F.col("first").alias("down_to"), length.alias("seconds"))
             .filter(F.col("seconds") > seconds))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+from lurewatch.functions.calc import micros
 from lurewatch.functions.urls import cache_key
 
 GAP_SECONDS = 60
@@ -29,7 +30,6 @@ def time_sessions(df: DataFrame, user="user_id", ts="created_at", key="id", gap=
     of work, not the user.  Time is cut into hours first: all windows run per
     user and hour, and only one row per user and hour is ordered per user.
     """
-    micros = lambda c: F.unix_micros(F.col(c))
     hour = F.date_trunc("hour", F.col(ts))
     df = df.withColumn("_hour", hour)
     slots = df.groupBy(user, "_hour").agg(F.max(ts).alias("_last"))
@@ -62,7 +62,7 @@ def suppress_duplicates(scans: DataFrame, gap=GAP_SECONDS, depth=DEPTH) -> DataF
     order with only ``depth`` saved scans in memory.
     """
     rows = time_sessions(scans, gap=gap).withColumns(
-        {"_head": content_head(), "_at": F.unix_micros("created_at")})
+        {"_head": content_head(), "_at": micros("created_at")})
     rows = rows.repartition("user_id", "session").sortWithinPartitions("user_id", "session", "created_at", "id")
     names = scans.columns
 
@@ -113,7 +113,7 @@ class KeepNewScans(StatefulProcessor):
 
 def suppress_duplicates_stream(scans: DataFrame, gap=GAP_SECONDS, depth=DEPTH) -> DataFrame:
     """Streaming form (needs the RocksDB state store)."""
-    rows = scans.withColumns({"_head": content_head(), "_at": F.unix_micros("created_at")})
+    rows = scans.withColumns({"_head": content_head(), "_at": micros("created_at")})
     return rows.groupBy("user_id").transformWithStateInPandas(
         KeepNewScans(gap, depth), outputStructType=scans.schema, outputMode="Append", timeMode="None")
 
