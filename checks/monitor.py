@@ -149,13 +149,16 @@ DENSE = f"""SELECT id, user_id % 5 AS user_id, 'https://site' || (id % 7) || '.e
  1704067200000000 + CAST(floor((epoch_us(created_at) - 1704067200000000) / 3000) AS BIGINT) AS at_ FROM ({SCANS})"""
 
 
-@query("suppress_duplicates", f"""WITH RECURSIVE d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_, id) AS i FROM ({DENSE})),
+KEPT = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_, id) AS i FROM ({DENSE})),
  w AS (SELECT id, user_id, i, true AS keep, [struct_pack(s := source, h := head, t := at_)] AS saved FROM d WHERE i = 1
   UNION ALL SELECT n.id, n.user_id, n.i, len(list_filter(w.saved, lambda x: x.s = n.source AND x.h = n.head AND n.at_ - x.t < 60000000)) = 0,
    CASE WHEN len(list_filter(w.saved, lambda x: x.s = n.source AND x.h = n.head AND n.at_ - x.t < 60000000)) = 0
      THEN list_slice(list_append(w.saved, struct_pack(s := n.source, h := n.head, t := n.at_)), -10, -1) ELSE w.saved END
   FROM w JOIN d n ON n.user_id = w.user_id AND n.i = w.i + 1)
- SELECT id FROM w WHERE keep""")
+ SELECT id FROM w WHERE keep"""
+
+
+@query("suppress_duplicates", KEPT)
 def suppress_duplicates(spark, sf):
     return S.suppress_duplicates(dense_scans(spark, sf)).select("id")
 
@@ -184,7 +187,7 @@ def stream_request_rates(spark, sf):
     return out.select(stamp("window_start").alias("window_start"), "status", "n")
 
 
-@query("stream_suppress_duplicates")
+@query("stream_suppress_duplicates", KEPT)
 def stream_suppress_duplicates(spark, sf):
     """Kept scans of the stateful streaming job."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",

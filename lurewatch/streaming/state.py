@@ -97,14 +97,14 @@ class KeepNewScans(StatefulProcessor):
         saved = deque((tuple(r) for r in self.saved.get()), maxlen=self.depth) if self.saved.exists() else \
             deque(maxlen=self.depth)
         for pdf in rows:
-            pdf = pdf.sort_values(["_at", "id"])
+            pdf = pdf.sort_values(["at_micros", "id"])
             mask = []
-            for source, head, at in zip(pdf["source"], pdf["_head"], pdf["_at"]):
+            for source, head, at in zip(pdf["source"], pdf["head"], pdf["at_micros"]):
                 new = _keep(saved, source, head, at, self.gap)
                 if new:
                     saved.append((source, head, int(at)))
                 mask.append(new)
-            yield pdf.loc[mask].drop(columns=["_head", "_at"])
+            yield pdf.loc[mask].drop(columns=["head", "at_micros"])
         self.saved.put(list(saved))
 
     def close(self):
@@ -113,7 +113,7 @@ class KeepNewScans(StatefulProcessor):
 
 def suppress_duplicates_stream(scans: DataFrame, gap=GAP_SECONDS, depth=DEPTH) -> DataFrame:
     """Streaming form (needs the RocksDB state store)."""
-    rows = scans.withColumns({"_head": content_head(), "_at": micros("created_at")})
+    rows = scans.withColumns({"head": content_head(), "at_micros": micros("created_at")})
     return rows.groupBy("user_id").transformWithStateInPandas(
         KeepNewScans(gap, depth), outputStructType=scans.schema, outputMode="Append", timeMode="None")
 
