@@ -45,6 +45,16 @@ def count_re(c, pattern: str) -> Column:
     return F.regexp_count(col(c), F.lit(pattern)).cast("long")
 
 
+def count_chars(c, char_class: str) -> Column:
+    """How many characters fall into a regex class such as ``\\p{L}``.
+
+    Whole runs are removed and the lengths compared, which is much cheaper on
+    long texts than collecting every match.
+    """
+    c = col(c)
+    return (F.length(c) - F.length(F.regexp_replace(c, f"[{char_class}]+", ""))).cast("long")
+
+
 def flag(cond) -> Column:
     """Boolean -> 1.0 / 0.0, null counts as no."""
     return F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0))
