@@ -11,6 +11,7 @@ from lurewatch import fixed
 from lurewatch.functions import text as T
 from lurewatch.operators import windows as WN
 from lurewatch.plans import mail as M
+from lurewatch.session import spread
 
 r6 = lambda c: F.round(c, 6)
 WS, WORD = T.WS, T.WORD
@@ -29,7 +30,7 @@ def docs(spark, sf):
     head = (F.when(i % 4 == 0, F.concat(F.lit("Subject: Re: <b>Invoice&nbsp;"), i.cast("string"), F.lit("</b> &amp; more www.pay.example/x?y=1 ")))
             .when(i % 4 == 1, F.concat(F.lit("mail jane.doe@corp.example.org or call 0044123456789 at https://x.example.org/a/b?c=1 "), i.cast("string"), F.lit(" ")))
             .when(i % 4 == 2, F.lit("#outlook a{padding:0;} @media print{x} color: red; {z} Jane DOE ")).otherwise(F.lit("")))
-    return table(spark, sf, "documents").select("doc_id", "lang", "source", F.concat(head, "text").alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", "lang", "source", F.concat(head, "text").alias("text")))
 
 
 DOCS = """SELECT doc_id, lang, source, CASE doc_id % 4
@@ -72,7 +73,7 @@ STRIP = rep("html", (r"(?is)<style[^>]*>.*?</style>", " "), (r"(?is)<script[^>]*
 
 @query("strip_html", f"SELECT page_id, {squeeze(STRIP)} AS text FROM pages")
 def strip_html(spark, sf):
-    return table(spark, sf, "pages").select("page_id", T.squeeze(T.strip_html("html")).alias("text"))
+    return spread(table(spark, sf, "pages").select("page_id", "html")).select("page_id", T.squeeze(T.strip_html("html")).alias("text"))
 
 
 @query("html_to_text")
@@ -133,7 +134,7 @@ def boilerplate_signature(spark, sf):
 
 @query("dedupe_first", f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {sig_sql('text')} ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def dedupe_first(spark, sf):
-    df = table(spark, sf, "documents").select("doc_id", T.signature("text").alias("sig"))
+    df = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.signature("text").alias("sig"))
     return WN.dedupe_first(df, "sig", "doc_id").select("doc_id")
 
 
@@ -229,7 +230,7 @@ ATTR = f"""coef AS ({COEF}), wd AS (SELECT doc_id, unnest(list_filter(regexp_spl
 def _attributions(spark, sf):
     vocab = table(spark, sf, "benchmark").select(F.explode(T.text_tokens(F.lower("text"))).alias("token")).distinct()
     coef = vocab.select("token", ((F.length("token") % 7) / F.lit(4.0) - F.lit(0.7)).alias("coef"), F.lit(0.125).alias("mean"))
-    return WN.attribute_tokens(table(spark, sf, "documents"), coef)
+    return WN.attribute_tokens(spread(table(spark, sf, "documents").select("doc_id", "text")), coef)
 
 
 @query("attribute_tokens", f"WITH {ATTR} SELECT doc_id, token, round(value, 6) AS value FROM att")

@@ -78,7 +78,9 @@ def attribute_tokens(df: DataFrame, coef: DataFrame, by="doc_id", c="text") -> D
     coef, mean - the model vocabulary.
     """
     words = df.select(by, F.explode(T.text_tokens(F.lower(col(c)))).alias("token"))
-    counts = words.groupBy(by, "token").agg(F.count("*").alias("n"))
+    # words outside the vocabulary are dropped before anything is grouped
+    known = words.join(coef.select("token"), "token", "left_semi")
+    counts = known.groupBy(by, "token").agg(F.count("*").alias("n"))
     return counts.join(coef, "token").select(
         by, "token", (F.col("coef") * (F.col("n") - F.col("mean"))).alias("value"))
 

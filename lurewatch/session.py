@@ -30,6 +30,17 @@ def build_session(master=None, name="lurewatch", **extra) -> SparkSession:
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give CPU-heavy row-local work at least one partition per core.
+
+    A small input that arrives as a few file splits (one row group is one
+    task) is spread round robin; a large scan already has more splits than
+    cores and is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
