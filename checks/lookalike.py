@@ -197,8 +197,7 @@ HARVEST_LEGIT = [d for ds in fixed.SQUAT_BRANDS.values() for d in ds]
   AND NOT list_contains({sql_list(HARVEST_LEGIT)}, registered) ORDER BY p.url, page_id LIMIT 150""")
 def harvest_lookalikes(spark, sf):
     feed = probe_urls(spark, sf)
-    hits = J.harvest_lookalikes(feed, HARVEST, HARVEST_LEGIT, n=10**6).orderBy("url", "page_id").limit(150)
-    return hits.select("page_id", "url")
+    return J.harvest_lookalikes(feed, HARVEST, HARVEST_LEGIT, tie=["page_id"]).select("page_id", "url")
 
 
 @query("unknown_platforms", f"""WITH {parts_sql(PROBE)}, {domain_sql()},

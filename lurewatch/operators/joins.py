@@ -272,14 +272,14 @@ def find_squats(observed: DataFrame, brands: DataFrame, c="url") -> DataFrame:
     return observed.withColumn("host", host).join(squats, "host")
 
 
-def harvest_lookalikes(feed: DataFrame, brand_names, legit, c="url", n=150) -> DataFrame:
+def harvest_lookalikes(feed: DataFrame, brand_names, legit, c="url", n=150, tie=()) -> DataFrame:
     """Feed URLs that name a brand in sub-domain or registered domain without
     belonging to it; the first n by URL (a report)."""
     df = U.with_domain(U.with_url_parts(feed, c, "_h_"), "_h_host", "_h_")
     host = F.concat_ws(".", "_h_subdomain", "_h_registered")
     named = reduce(lambda a, b: a | b, [host.contains(b) for b in brand_names])
     hits = df.filter(named & ~F.col("_h_registered").isin(list(legit)))
-    return hits.select(*feed.columns).orderBy(c).limit(n)
+    return hits.select(*feed.columns).orderBy(c, *tie).limit(n)
 
 
 # --------------------------------------------------------------------- quiz

@@ -1,9 +1,9 @@
 """Nearest chunks by cosine similarity.
 
-The corpus is never shuffled: queries travel to it.  Each task multiplies its
-Arrow batches with the query matrix and keeps a running top k per query, so it
-emits k rows per query, not all pairs.  Query sets too large for one matrix
-are cut into blocks of bounded size and every block is answered the same way.
+A query batch that fits one matrix travels to the corpus, which is then not
+shuffled at all: each task multiplies its Arrow batches with the query matrix
+and keeps a running top k per query, so it emits k rows per query, not all
+pairs.  Larger query sets are joined with the corpus in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from lurewatch.functions.common import col
 
-MAX_QUERY_BYTES = 64 << 20  # one query block
+MAX_QUERY_BYTES = 64 << 20  # query vectors that may be broadcast, or of one block
+MAX_CORPUS_BYTES = 256 << 20  # corpus vectors of one block
 
 
 def dot(a, b) -> Column:
@@ -35,8 +36,9 @@ def cosine(a, b) -> Column:
 
 
 def l2_normalize(c) -> Column:
-    n = norm(c)
-    return F.transform(col(c), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
+    """Unit-length vector; the norm is computed once per row."""
+    unit = lambda n: F.transform(col(c), lambda x: F.when(n == 0, F.lit(0.0)).otherwise(x.cast("double") / n))
+    return F.get(F.transform(F.array(norm(c)), unit), F.lit(0))
 
 
 def _unit(rows):
@@ -51,61 +53,85 @@ def _schema(corpus, id_col, query_id_type):
                          T.StructField("vector_score", T.DoubleType())])
 
 
-def _scan(corpus, id_col, vec_col, block, k, schema, cells=None, probes=None):
-    """Top k per query of one query block over every corpus partition."""
-    ids, queries = block
-    sc = corpus.sparkSession.sparkContext
-    shared = sc.broadcast((ids, queries, cells, probes))
+class _Best:
+    """Running top k per query over batches of corpus vectors."""
+
+    def __init__(self, n, k):
+        self.k = k
+        self.score = np.full((n, k), -np.inf)
+        self.name = np.empty((n, k), dtype=object)
+
+    def add(self, sims, names):
+        both = np.hstack([self.score, sims])
+        labels = np.hstack([self.name, np.broadcast_to(names.astype(object), sims.shape)])
+        for r in range(len(both)):
+            # everything at least as good as the k-th best; smaller id on ties
+            edge = np.partition(both[r], -self.k)[-self.k]
+            pool = [i for i in np.flatnonzero(both[r] >= edge) if both[r][i] > -np.inf]
+            pool.sort(key=lambda i: (-both[r][i], labels[r][i]))
+            pool = pool[:self.k]
+            self.score[r], self.name[r] = -np.inf, None
+            self.score[r, :len(pool)], self.name[r, :len(pool)] = both[r][pool], labels[r][pool]
+
+    def rows(self, ids, id_col):
+        out = [(ids[r], self.name[r, j], self.score[r, j]) for r in range(len(ids)) for j in range(self.k)
+               if self.score[r, j] > -np.inf]
+        return pd.DataFrame(out, columns=["query_id", id_col, "vector_score"])
+
+
+def _scan(corpus, id_col, vec_col, ids, queries, k, schema, cells=None, probes=None):
+    """Top k per query and corpus partition; the query matrix is broadcast."""
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, queries, cells, probes))
 
     def search(batches):
         ids, q, cells, probes = shared.value
-        best = np.full((len(ids), k), -np.inf)
-        hits = np.empty((len(ids), k), dtype=object)
+        best = _Best(len(ids), k)
         for pdf in batches:
             if not len(pdf):
                 continue
             m = _unit(pdf[vec_col])
-            keys = pdf[id_col].to_numpy()
             sims = q @ m.T
             if cells is not None:
-                cell = np.argmax(m @ cells.T, axis=1)
-                sims = np.where(probes[:, cell], sims, -np.inf)
-            both = np.hstack([best, sims])
-            names = np.hstack([hits, np.broadcast_to(keys.astype(object), sims.shape)])
-            # best score first, smaller id on ties
-            for r in range(len(ids)):
-                cut = np.argpartition(-both[r], k - 1)[:k] if both.shape[1] > k else np.arange(both.shape[1])
-                edge = both[r][cut].min()
-                pool = [i for i in np.flatnonzero(both[r] >= edge) if both[r][i] > -np.inf]
-                pool.sort(key=lambda i: (-both[r][i], names[r][i]))
-                pool = pool[:k]
-                best[r], hits[r] = -np.inf, None
-                best[r, :len(pool)], hits[r, :len(pool)] = both[r][pool], names[r][pool]
-        rows = [(ids[r], hits[r, j], best[r, j]) for r in range(len(ids)) for j in range(k)
-                if best[r, j] > -np.inf]
-        yield pd.DataFrame(rows, columns=["query_id", id_col, "vector_score"])
+                sims = np.where(probes[:, np.argmax(m @ cells.T, axis=1)], sims, -np.inf)
+            best.add(sims, pdf[id_col].to_numpy())
+        yield best.rows(ids, id_col)
 
     return corpus.select(id_col, vec_col).mapInPandas(search, schema)
 
 
-def _query_blocks(queries, query_id, vec_col):
-    """Query matrices of at most ``MAX_QUERY_BYTES``, fetched one after another."""
-    ids, vecs, size = [], [], 0
-    for row in queries.select(query_id, vec_col).orderBy(query_id).toLocalIterator():
-        ids.append(row[0])
-        vecs.append(row[1])
-        size += 8 * len(row[1])
-        if size >= MAX_QUERY_BYTES:
-            yield ids, _unit(vecs)
-            ids, vecs, size = [], [], 0
-    if ids:
-        yield ids, _unit(vecs)
-
-
-def _merge(parts, id_col, k):
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def _blocks(queries, corpus, query_id, id_col, vec_col, k, schema, sizes):
+    """Top k per query and corpus block, for query sets too large to broadcast.
+
+    Both sides are cut by a hash of their id into blocks of bounded size, so
+    copies of one vector do not meet in one block; every query block meets
+    every corpus block once.
+    """
+    n_q, n_c = sizes
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select(F.col(query_id).alias("query_id"), F.col(vec_col).alias("q"),
+                          block(query_id, n_q).cast("int").alias("qb"), each(n_c).alias("cb"))
+    right = corpus.select(id_col, vec_col, block(id_col, n_c).cast("int").alias("cb"), each(n_q).alias("qb"))
+
+    def search(q, c):
+        best = _Best(len(q), k)
+        if len(q) and len(c):
+            best.add(_unit(q["q"]) @ _unit(c[vec_col]).T, c[id_col].to_numpy())
+        return best.rows(q["query_id"].to_numpy(), id_col)
+
+    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(search, schema)
+
+
+def _bytes(df, vec_col):
+    return df.agg(F.sum(F.size(vec_col).cast("long") * 8)).first()[0] or 0
+
+
+def _fetch(queries, query_id, vec_col):
+    rows = queries.select(query_id, vec_col).orderBy(query_id).collect()  # size-checked
+    return [r[0] for r in rows], _unit([r[1] for r in rows])
+
+
+def _merge(out, id_col, k):
     w = W.partitionBy("query_id").orderBy(F.desc("vector_score"), id_col)
     return out.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -114,9 +140,14 @@ def knn(queries: DataFrame, corpus: DataFrame, k=20, query_id="query_id", id_col
         vec_col="embedding") -> DataFrame:
     """Exact top k per query: query_id, id, vector_score, rank."""
     schema = _schema(corpus, id_col, queries.schema[query_id].dataType)
-    parts = [_scan(corpus, id_col, vec_col, b, k, schema)
-             for b in _query_blocks(queries, query_id, vec_col)]
-    return _merge(parts, id_col, k)
+    size = _bytes(queries, vec_col)
+    if size > MAX_QUERY_BYTES:
+        sizes = -(-size // MAX_QUERY_BYTES), max(1, -(-_bytes(corpus, vec_col) // MAX_CORPUS_BYTES))
+        return _merge(_blocks(queries, corpus, query_id, id_col, vec_col, k, schema, sizes), id_col, k)
+    if not size:
+        return _merge(corpus.sparkSession.createDataFrame([], schema), id_col, k)
+    ids, q = _fetch(queries, query_id, vec_col)
+    return _merge(_scan(corpus, id_col, vec_col, ids, q, k, schema), id_col, k)
 
 
 def ann(queries: DataFrame, corpus: DataFrame, k=20, lists=16, probe=4, seed=42, fit_rows=100_000,
@@ -126,8 +157,11 @@ def ann(queries: DataFrame, corpus: DataFrame, k=20, lists=16, probe=4, seed=42,
 
     Cells come from k-means on a sample (the index-building step).  Corpus rows
     find their cell while they are scanned, so a cell that holds a third of the
-    corpus is still spread over all tasks.  ``probe == lists`` is exact.
+    corpus is still spread over all tasks.  ``probe == lists`` is exact; so is
+    the block join that answers query sets too large to broadcast.
     """
+    if not 0 < _bytes(queries, vec_col) <= MAX_QUERY_BYTES:
+        return knn(queries, corpus, k, query_id, id_col, vec_col)
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
     from lurewatch.operators.sampling import sample_n
@@ -137,13 +171,11 @@ def ann(queries: DataFrame, corpus: DataFrame, k=20, lists=16, probe=4, seed=42,
         sample.select(array_to_vector(vec_col).alias("features")))
     cells = _unit(model.clusterCenters())
     schema = _schema(corpus, id_col, queries.schema[query_id].dataType)
-    parts = []
-    for ids, q in _query_blocks(queries, query_id, vec_col):
-        near = np.argsort(-(q @ cells.T), axis=1)[:, :probe]
-        probes = np.zeros((len(ids), len(cells)), dtype=bool)
-        np.put_along_axis(probes, near, True, axis=1)
-        parts.append(_scan(corpus, id_col, vec_col, (ids, q), k, schema, cells, probes))
-    return _merge(parts, id_col, k)
+    ids, q = _fetch(queries, query_id, vec_col)
+    near = np.argsort(-(q @ cells.T), axis=1)[:, :probe]
+    probes = np.zeros((len(ids), len(cells)), dtype=bool)
+    np.put_along_axis(probes, near, True, axis=1)
+    return _merge(_scan(corpus, id_col, vec_col, ids, q, k, schema, cells, probes), id_col, k)
 
 
 def recall(found: DataFrame, truth: DataFrame, id_col="vec_id") -> DataFrame:

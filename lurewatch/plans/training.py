@@ -48,8 +48,13 @@ def raw_scores(model, df: DataFrame, features=fixed.FEATURES_V2) -> DataFrame:
 
 
 def fit_calibration(df: DataFrame, p="raw", y="label", points=201) -> DataFrame:
-    """Isotonic regression exported as a knot table on an even grid 0..1."""
-    model = IsotonicRegression(featuresCol=p, labelCol=y).fit(df.select(F.col(p), F.col(y).cast("double").alias(y)))
+    """Isotonic regression exported as a knot table on an even grid 0..1.
+
+    Equal scores are merged into one weighted row first, which fits the same
+    curve from far fewer rows.
+    """
+    merged = df.groupBy(p).agg(F.avg(F.col(y).cast("double")).alias(y), F.count("*").cast("double").alias("weight"))
+    model = IsotonicRegression(featuresCol=p, labelCol=y, weightCol="weight").fit(merged)
     grid = df.sparkSession.range(points).select(F.col("id").alias("pos"), (F.col("id") / (points - 1)).alias(p))
     fitted = model.transform(grid)
     clipped = F.greatest(F.least("prediction", F.lit(1.0)), F.lit(0.0))

@@ -145,12 +145,14 @@ def test_knn_is_exact_in_blocks(spark, monkeypatch):
     queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(q)], "query_id long, embedding array<double>")
     sims = (q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T
     want = {i: [int(j) for j in np.lexsort((np.arange(300), -np.round(sims[i], 9)))[:10]] for i in range(7)}
-    for limit in (1 << 20, 100):  # one block, then a block per query or two
+    for limit, cut in ((1 << 20, 1 << 20), (100, 5000)):  # broadcast, then joined in blocks
         monkeypatch.setattr(V, "MAX_QUERY_BYTES", limit)
+        monkeypatch.setattr(V, "MAX_CORPUS_BYTES", cut)
         got = {}
         for r in V.knn(queries, corpus, 10).orderBy("query_id", "rank").collect():
             got.setdefault(r.query_id, []).append(r.vec_id)
         assert {k: sims[k][v].round(9).tolist() for k, v in got.items()} == {k: sims[k][v].round(9).tolist() for k, v in want.items()}
+    monkeypatch.setattr(V, "MAX_QUERY_BYTES", 1 << 20)
     exact = V.ann(queries, corpus, 10, lists=4, probe=4)
     assert V.recall(exact, V.knn(queries, corpus, 10)).first()["recall"] == 1.0
 
