@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import bind
 from checks.bind import SCORED, scored, table
 from checks.registry import query
-from lurewatch import fixed
 from lurewatch.functions import calc as C
 from lurewatch.operators import joins as J
 from lurewatch.operators import metrics as M
@@ -50,10 +48,6 @@ def roc_auc(spark, sf):
     return rounded(M.roc_auc(scored(spark, sf).withColumn("p", F.round("p", 9))))
 
 
-WIL = """CASE WHEN n = 0 THEN 0.0 ELSE (k / CAST(n AS DOUBLE) + 1.96 * 1.96 / (2 * n) {s} 1.96 * sqrt((k / CAST(n AS DOUBLE)) * (1 - k / CAST(n AS DOUBLE)) / n
- + 1.96 * 1.96 / (CAST(4 AS DOUBLE) * n * n))) / (1 + 1.96 * 1.96 / n) END"""
-
-
 def wilson_sql(k, n, sign):
     z = "CAST(1.96 AS DOUBLE)"
     p = f"(CAST({k} AS DOUBLE) / {n})"
@@ -69,7 +63,7 @@ def wilson_interval(spark, sf):
 
 
 BARS = [("de", False, 0.9), ("en", True, 0.65), ("es", False, 0.4), ("fr", True, 0.1)]
-BARS_SQL = bind.values("bars", "lang, expect, bar", []) if False else "bars(lang, expect, bar) AS (VALUES ('de', false, 0.9), ('en', true, 0.65), ('es', false, 0.4), ('fr', true, 0.1))"
+BARS_SQL = "bars(lang, expect, bar) AS (VALUES ('de', false, 0.9), ('en', true, 0.65), ('es', false, 0.4), ('fr', true, 0.1))"
 
 
 @query("gate", f"""WITH {BARS_SQL}, g AS (SELECT lang, expect, CAST(bar AS DOUBLE) AS bar, sum(CAST((p > 0.5) = expect AS BIGINT)) AS k, count(*) AS n,
