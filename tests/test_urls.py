@@ -138,6 +138,9 @@ def test_hosts(spark):
 
     got = {r.i: r.p for r in frame(spark, ips, "i").select("i", U.is_public_ipv4("i").alias("p")).collect()}
     assert got == {i: public(i) for i in ips}
+    ips += ["::1", "2001:4860:4860::8888", "fe80::1", "fc00::1", "::", "ff02::1", "2001:db8::1", "1::2::3"]
+    got = {r.i: r.p for r in frame(spark, ips, "i").select("i", H.is_public_ip("i").alias("p")).collect()}
+    assert got == {i: public(i) for i in ips}
 
 
 def test_homographs(spark):
