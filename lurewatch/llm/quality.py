@@ -149,6 +149,24 @@ def quality_rules(docs: DataFrame, key="doc_id", text="text", lang="lang",
     return rows.mapInArrow(run, SCHEMA)
 
 
+def keep_quality(docs: DataFrame, key="doc_id", text="text", lang="lang",
+                 pieces: str = "piece_bpe_32k.model", bands: dict | None = None) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns."""
+    bands = {**BANDS, **(bands or {})}
+    names = docs.columns
+
+    def run(batches):
+        table, marks = word_ids("piece", vocabulary(pieces)), mark_ids(vocabulary(pieces))
+        for part in chunks(batches, "__text"):
+            rows = pa.RecordBatch.from_arrays([part.column("__id"), part.column("__text"), part.column("__lang")],
+                                              names=["doc_id", "text", "lang"])
+            yield part.select(names).filter(measure(rows, table, marks, bands).column("kept"))
+
+    rows = docs.withColumns({"__id": F.col(f"`{key}`").cast("long"), "__lang": F.col(f"`{lang}`").cast("string"),
+                             "__text": F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))})
+    return rows.mapInArrow(run, docs.schema)
+
+
 def op7_quality_fertility(spark, sf_dir):
     """Base counts and fertility verdict of every document."""
     from lurewatch.llm.common import documents
