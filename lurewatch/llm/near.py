@@ -10,13 +10,17 @@ shingles.  The result is exact; the steps only avoid work.
    few shared prefix tokens has no partner.  Usually most documents end here.
 3. Similar nodes are put into groups: min-hash buckets elect the node that is most
    like the others, and members that pass the exact test join its group, one
-   comparison per member and elected node instead of all pairs.
+   comparison per member and elected node instead of all pairs.  A second turn compares
+   nodes of different groups that stand side by side in a min-hash bucket, so that a
+   large set of near copies of one lost original comes together as well.
 4. The token-group matrix: the union of the members' prefix tokens per group, kept
    as (token, group) incidences in hash buckets.  A query opens other groups only
    if enough of its own prefix tokens occur in their unions; members of one group
    need no further comparison, however many they are.
 5. Among the nodes left, the rarest tokens are joined across groups and the pairs
-   tested exactly.  Frequent tokens (a shared passage) come last in the order.
+   tested exactly.  Frequent tokens (a shared passage) come last in the order, and a
+   pair meets only at a token with enough tokens after it on both sides: the first
+   common token of a linked pair has at least the overlap that the pair needs.
 
 Groups and links give the components.  Broadcast data have a fixed size: a bitmap
 of row keys and the most frequent tokens of step 5 (a matter of speed only).
@@ -227,6 +231,15 @@ def elected_pairs(sets: DataFrame, percent=PERCENT) -> DataFrame:
         F.col("node").alias("a"), F.col("head").alias("b"))
 
 
+def neighbour_pairs(left: DataFrame, percent=PERCENT) -> DataFrame:
+    """(a, b): nodes of different groups next to each other in the shuffled min-hash buckets."""
+    keys = left.select("node", "group", "n", F.posexplode("mins").alias("k", "min"))
+    order = Window.partitionBy("k", "min").orderBy(F.xxhash64("node", "k"), "node")
+    before = keys.select("node", "group", "n", *[F.lag(c).over(order).alias(f"last_{c}") for c in ("node", "group", "n")])
+    fits = (F.col("group") != F.col("last_group")) & (F.least("n", "last_n") * 100 >= F.greatest("n", "last_n") * percent)
+    return before.filter(fits).select(F.least("node", "last_node").alias("a"), F.greatest("node", "last_node").alias("b")).distinct()
+
+
 def across_groups(grouped: DataFrame, buckets: int, percent=PERCENT) -> DataFrame:
     """(node, shared): prefix tokens of a node that occur in the union of another group.
 
@@ -288,19 +301,22 @@ def rare_pairs(left: DataFrame, percent=PERCENT) -> DataFrame:
                 at = np.minimum(np.searchsorted(known, t), max(len(known) - 1, 0))
                 often = np.where(known[at] == t, count[at], 0) if len(known) else np.zeros(len(t), np.int64)
                 keep = np.lexsort((t, often))[:n - least_overlap(n, percent) + 1]
-                out.append((t[keep], node, group, n))
+                out.append((t[keep], node, group, n, np.arange(len(keep))))
             sizes = [len(o[0]) for o in out]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate([o[0] for o in out])), *[pa.array(np.repeat(np.array([o[k] for o in out], np.int64), sizes))
-                                                                  for k in (1, 2, 3)]], names=["token", "node", "group", "n"])
+                                                                  for k in (1, 2, 3)], pa.array(np.concatenate([o[4] for o in out]))],
+                names=["token", "node", "group", "n", "position"])
 
     found = materialize(left.select("node", "group", "n", "tokens").mapInArrow(
-        prefixes, "token long, node long, group long, n long"), "prefixes")
+        prefixes, "token long, node long, group long, n long, position long"), "prefixes")
     spread = found.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
     found = found.join(spread, "token")
     a, b = found.alias("x"), found.alias("y")
     fits = ((F.col("x.token") == F.col("y.token")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.group") != F.col("y.group"))
-            & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent))
+            & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+            & (F.least(F.col("x.n") - F.col("x.position"), F.col("y.n") - F.col("y.position")) * (100 + percent)
+               >= (F.col("x.n") + F.col("y.n")) * percent))
     return a.join(b, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
@@ -320,11 +336,17 @@ def near_components(docs: DataFrame, key="doc_id", text="text", percent: int = P
     chosen = materialize(nodes.join(shared, "node").filter(F.col("shared") >= need("n")).select("doc_id", "node"), "chosen")
     sets = materialize(token_sets(rows, chosen, width), "sets")
     links = materialize(verified(elected_pairs(sets, percent), sets, percent), "links")
-    groups = materialize(components(links), "groups")
-    grouped = sets.join(groups, "node", "left").select("node", "n", "tokens", F.coalesce("component", "node").alias("group"))
     few = max(64, sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 3 // 10 // POSTINGS)
-    open_ = across_groups(grouped, few, percent)
-    left = materialize(grouped.join(open_, "node").filter(F.col("shared") >= need("n")).drop("shared"), "left")
+
+    def unsettled(links):
+        groups = components(links)
+        grouped = sets.join(groups, "node", "left").select("node", "n", "mins", "tokens", F.coalesce("component", "node").alias("group"))
+        open_ = across_groups(grouped, few, percent)
+        return materialize(grouped.join(open_, "node").filter(F.col("shared") >= need("n")).drop("shared"), "left")
+
+    left = unsettled(links)
+    links = materialize(links.union(verified(neighbour_pairs(left, percent), left, percent)), "links")
+    left = unsettled(links)
     more = verified(rare_pairs(left, percent), left, percent)
     linked = components(links.union(more))
     named = seen.join(linked, "node", "left").withColumn("__set", F.coalesce("component", "node"))
