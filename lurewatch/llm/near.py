@@ -357,9 +357,11 @@ def near_components(docs: DataFrame, key="doc_id", text="text", percent: int = P
 
 
 def without_near_copies(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest key; rows without words all stay."""
+    """``docs`` with one row of each component: the one with the smallest key (a null key last);
+    rows without words all stay."""
     found = near_components(docs, key, text).filter("n_shingles > 0")
-    heads = found.groupBy("set").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))
+    heads = found.groupBy("set").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("keyless"), "doc_id", "text_hash")).alias("head"))
     head = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
     others = materialize(found.join(heads, "set").groupBy("doc_id", "text_hash").agg(
         F.max(head).alias("head"), F.count("*").alias("copies")).filter("not head or copies > 1").select(
