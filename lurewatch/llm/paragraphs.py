@@ -3,8 +3,8 @@
 Paragraphs are lines of at least ``MIN_WORDS`` words.  Equal word sequences are one
 node.  Signatures are banded; the number of bands is tuned so that a pair at the
 threshold collides with probability ``RECALL`` or more.  Band keys travel packed, in
-hash buckets.  First every band key proposes one comparison per node, with the
-smallest node of the key; pairs that pass the exact Jaccard test make groups.  Then
+hash buckets.  First every band key proposes two comparisons per node, with the
+smallest node of the key and with its neighbour; pairs that pass the exact Jaccard test make groups.  Then
 nodes of different groups that share a band key are compared, all of them, so no
 colliding pair is lost, while a thousand near copies of one paragraph, one group by
 then, need no comparison of all pairs.  The links' components are the classes of
@@ -96,13 +96,18 @@ def _band_keys(h, n, start, bands, rows):
 
 
 def _star(table):
-    """(a, b): each node of a band key with the smallest node of the key."""
+    """(a, b): each node of a band key with the smallest node and with the one before it.
+
+    Identities are hashes, so the node before is a random one of the key.
+    """
     label, rest = _unpacked(table)
     order = np.lexsort((label, rest))
     label, rest = label[order], rest[order]
     start = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
     head = np.repeat(label[start], np.diff(np.append(start, len(rest))))
-    pairs = np.unique(np.stack([label, head])[:, label != head], axis=1)
+    before = np.where(label == head, head, np.concatenate([head[:1], label[:-1]]))
+    pairs = np.concatenate([np.stack([label, head])[:, label != head], np.stack([label, before])[:, label != before]], axis=1)
+    pairs = np.unique(pairs, axis=1)
     return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
 
