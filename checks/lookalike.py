@@ -158,7 +158,7 @@ SQUATS = f"""{SQUAT_BRANDS}, bt_ AS (SELECT brand, domain, substr(domain, instr(
   UNION ALL SELECT brand, 'alt_tld', brand || '.' || t FROM bt_, (SELECT unnest({sql_list(fixed.SQUAT_TLDS)}) AS t) WHERE t <> tld
   UNION ALL SELECT brand, 'subdomain', brand || unnest(['.', '-secure.']) || h FROM bt_, (SELECT unnest({sql_list(fixed.SQUAT_HOSTS)}) AS h)
   UNION ALL SELECT brand, 'country', brand || '.' || c FROM bt_, (SELECT unnest({sql_list(fixed.SQUAT_COUNTRY)}) AS c)),
- squat_ AS (SELECT brand, host, min(family) AS family FROM raw_sq GROUP BY brand, host)"""
+ squat_ AS (SELECT brand, host, min(family) AS family FROM raw_sq WHERE host NOT IN (SELECT domain FROM sb_) GROUP BY brand, host)"""
 
 
 def _squat_brands(spark):

@@ -249,7 +249,10 @@ def typosquats(brands: DataFrame) -> DataFrame:
     # a two-letter brand has no inner characters
     rows = brands.select("brand", F.explode(tagged).alias("t")).filter(
         ~((F.length("brand") < 3) & F.col("t.family").isin("doubled", "dropped", "swapped")))
-    return rows.groupBy("brand", "t.host").agg(F.min("t.family").alias("family"))
+    # two equal neighbours swapped give the brand itself: genuine domains are no squats
+    genuine = brands.select(F.col("domain").alias("host"))
+    return rows.groupBy("brand", "t.host").agg(F.min("t.family").alias("family")).join(genuine, "host", "left_anti").select(
+        "brand", "host", "family")
 
 
 def squat_urls(brands: DataFrame, seed=42) -> DataFrame:

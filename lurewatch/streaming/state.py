@@ -96,16 +96,16 @@ class KeepNewScans(StatefulProcessor):
     def handleInputRows(self, key, rows, timer_values):
         saved = deque((tuple(r) for r in self.saved.get()), maxlen=self.depth) if self.saved.exists() else \
             deque(maxlen=self.depth)
-        for pdf in rows:
-            pdf = pdf.sort_values(["at_micros", "id"])
-            mask = []
-            for source, head, at in zip(pdf["source"], pdf["head"], pdf["at_micros"]):
-                new = _keep(saved, source, head, at, self.gap)
-                if new:
-                    saved.append((source, head, int(at)))
-                mask.append(new)
-            yield pdf.loc[mask].drop(columns=["head", "at_micros"])
+        # Arrow batches of a key come in no order: a user's scans of one micro-batch are sorted as one
+        pdf = pd.concat(rows, ignore_index=True).sort_values(["at_micros", "id"], ignore_index=True)
+        mask = []
+        for source, head, at in zip(pdf["source"], pdf["head"], pdf["at_micros"]):
+            new = _keep(saved, source, head, at, self.gap)
+            if new:
+                saved.append((source, head, int(at)))
+            mask.append(new)
         self.saved.put(list(saved))
+        yield pdf.loc[mask].drop(columns=["head", "at_micros"])
 
     def close(self):
         pass

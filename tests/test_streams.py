@@ -66,6 +66,19 @@ def test_suppression_stream(spark):
     assert sorted(r.id for r in out.collect()) == keep_in_order(rows)
 
 
+def test_suppression_stream_of_many_arrow_batches(spark):
+    rows = random_scans(400, 4)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "40")
+    try:
+        shuffled = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), SCHEMA).coalesce(1)
+        out = run_stream(spark, shuffled, S.suppress_duplicates_stream, "t-dupes-40")
+        assert sorted(r.id for r in out.collect()) == keep_in_order(rows)
+    finally:
+        spark.conf.set(size, before)
+
+
 def closed(batch, stream, key):
     """All closed windows of the stream are in the batch result, and most of it."""
     a, b = {tuple(r) for r in batch.collect()}, {tuple(r) for r in stream.collect()}

@@ -162,3 +162,9 @@ def test_typosquats_of_one_brand(spark):
     assert {"dh1.com", "dhhl.com", "dl.com", "dlh.com", "dhl-login.com", "login-dhl.com", "dhllogin.com", "dhl.top",
             "dhl.secure-portal.com", "dhl-secure.secure-portal.com", "dhl.com.am"} <= got
     assert "dhl.com" not in got
+
+
+def test_genuine_domains_are_no_squats(spark):
+    brands = spark.createDataFrame([("apple", "apple.com"), ("google", "google.com")], "brand string, domain string")
+    hosts = {r.host for r in J.typosquats(brands).collect()}
+    assert "appel.com" in hosts and not hosts & {"apple.com", "google.com"}
