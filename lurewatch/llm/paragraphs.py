@@ -5,10 +5,12 @@ node.  Signatures are banded; the number of bands is tuned so that a pair at the
 threshold collides with probability ``RECALL`` or more.  Band keys travel packed, in
 hash buckets.  First every band key proposes two comparisons per node, with the
 smallest node of the key and with its neighbour; pairs that pass the exact Jaccard test make groups.  Then
-nodes of different groups that share a band key are compared, all of them, so no
-colliding pair is lost, while a thousand near copies of one paragraph, one group by
-then, need no comparison of all pairs.  The links' components are the classes of
-paragraphs; the first occurrence of a class (by key, then position) stays.
+nodes that share a band key with another group are open: they are joined on the
+rarest shingles of their sets, by which every colliding pair that links also meets,
+while thousands of paragraphs just below the threshold, which collide in the bands,
+mostly do not.  A thousand near copies of one paragraph, one group by then, need no
+comparison of all pairs.  The links' components are the classes of paragraphs; the
+first occurrence of a class (by key, then position) stays.
 
 Defined cases: null and empty texts have no paragraphs; shorter lines are never
 removed; one document may hold several copies, of which all but the first go; rows
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lurewatch.llm.common import chunks, coded, gather_runs, keyed_text, words_of
 from lurewatch.llm.components import components
-from lurewatch.llm.near import BITMAP_BITS, PERCENT, POSTINGS, _Packer, _unpacked, verified
+from lurewatch.llm.near import BITMAP_BITS, PERCENT, POSTINGS, _Packer, _unpacked, rare_pairs, verified
 from lurewatch.llm.shingles import MIX, mixed
 from lurewatch.session import materialize
 
@@ -112,24 +114,16 @@ def _star(table):
 
 
 def _across(table):
-    """(a, b): nodes of different groups that share a band key."""
+    """Nodes that share a band key with a node of another group."""
     label, rest = _unpacked(table)
     group = np.concatenate([np.frombuffer(g.as_buffer(), np.int64)[np.frombuffer(p.as_buffer(), np.uint16)]
                             for g, p in zip(table["groups"], table["place"])])
-    order = np.lexsort((label, rest))
+    order = np.argsort(rest, kind="stable")
     label, rest, group = label[order], rest[order], group[order]
     start = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
-    mixed_key = np.flatnonzero(np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start))
-    end = np.append(start[1:], len(rest))
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for k in mixed_key:
-        mine, of = label[start[k]:end[k]], group[start[k]:end[k]]
-        for i in range(len(mine) - 1):
-            other = mine[i + 1:][of[i + 1:] != of[i]]
-            a.append(np.full(len(other), mine[i]))
-            b.append(other)
-    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-    return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+    several = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
+    open_ = np.unique(label[np.repeat(several, np.diff(np.append(start, len(rest))))])
+    return pa.table({"node": pa.array(open_, pa.int64())})
 
 
 def band_pairs(rows: DataFrame, buckets, bands, rows_per_band=ROWS, min_words=MIN_WORDS) -> DataFrame:
@@ -175,8 +169,8 @@ def paragraph_sets(rows: DataFrame, wanted: DataFrame, bands, rows_per_band=ROWS
     return rows.mapInArrow(run, "node long, tokens binary, keys binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
 
 
-def cross_pairs(grouped: DataFrame, buckets) -> DataFrame:
-    """(a, b) of different groups with a common band key, from (node, group, keys)."""
+def open_nodes(grouped: DataFrame, buckets) -> DataFrame:
+    """Nodes with a band key in common with another group, from (node, group, keys)."""
     def run(batches):
         packer, groups = _Packer(buckets), {}
 
@@ -195,7 +189,7 @@ def cross_pairs(grouped: DataFrame, buckets) -> DataFrame:
         yield from out()
 
     return grouped.select("node", "group", "keys").mapInArrow(run, _Packer.SCHEMA + ", groups binary").groupBy(
-        "bucket").applyInArrow(_across, "a long, b long").distinct()
+        "bucket").applyInArrow(_across, "node long").distinct()
 
 
 def repeated_paragraphs(docs: DataFrame, key="doc_id", text="text", percent: int = PERCENT, min_words: int = MIN_WORDS) -> DataFrame:
@@ -211,8 +205,10 @@ def repeated_paragraphs(docs: DataFrame, key="doc_id", text="text", percent: int
     sets = materialize(paragraph_sets(rows, wanted, bands, min_words=min_words), "sets")
     links = materialize(verified(proposed, sets, percent), "links")
     groups = components(links)
-    grouped = sets.join(groups, "node", "left").select("node", "keys", F.coalesce("component", "node").alias("group"))
-    more = verified(cross_pairs(grouped, max(64, buckets // 8)), sets, percent)
+    grouped = sets.join(groups, "node", "left").select(
+        "node", (F.length("tokens") / 8).cast("long").alias("n"), "tokens", "keys", F.coalesce("component", "node").alias("group"))
+    left = materialize(grouped.join(open_nodes(grouped, max(64, buckets // 8)), "node", "left_semi").drop("keys"), "open")
+    more = verified(rare_pairs(left, percent), left, percent)
     classes = components(links.union(more))
     named = seen.distinct().join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
     heads = named.groupBy("class").agg(F.min(F.struct("doc_id", "paragraph")).alias("kept"), F.count("*").alias("class_size"),
