@@ -21,8 +21,9 @@ shingles.  The result is exact; the steps only avoid work.
    tested exactly.  Frequent tokens (a shared passage) come last in the order, and a
    pair meets only at a token with enough tokens after it on both sides: the first
    common token of a linked pair has at least the overlap that the pair needs.  Each
-   node brings the parity of its tokens per hash bit; two parities differ in no more
-   bits than the sets differ in tokens, so a pair with too many such bits is no link.
+   posting brings the parity, per hash bit, of its node's tokens from there on; two parities
+   differ in no more bits than those tokens differ, and before the first common token all
+   differ, so a pair with too many such bits and earlier tokens is no link.
 
 Groups and links give the components.  Broadcast data have a fixed size: a bitmap
 of row keys and the most frequent tokens of step 5 (a matter of speed only).
@@ -52,7 +53,7 @@ from lurewatch.session import materialize
 WIDTH, PERCENT = 5, 80
 HASHES, ELECTED = 16, 3         # min-hashes per node, elected nodes a node is compared with
 BITMAP_BITS = 1 << 24           # 2 MB
-PARITY_WORDS = 4                # longs of parity bits per node in step 5
+PARITY_WORDS = 4                # longs of parity bits per posting in step 5
 FREQUENT = 1 << 18              # tokens whose frequency orders step 5
 POSTINGS = 700_000              # aimed at per hash bucket
 MULTIPLIERS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -285,11 +286,16 @@ def across_groups(grouped: DataFrame, buckets: int, percent=PERCENT) -> DataFram
         "bucket").applyInArrow(count, "node long, shared long").groupBy("node").agg(F.sum("shared").alias("shared"))
 
 
-def parities(tokens: np.ndarray) -> np.ndarray:
-    """``PARITY_WORDS`` longs: per hash bit, whether an odd number of tokens has it."""
-    bit = mixed(tokens.view(np.uint64)) % np.uint64(64 * PARITY_WORDS)
-    odd = np.bincount(bit.astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parities(tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``PARITY_WORDS`` longs for each place in ``first``, the beginning of ``tokens`` in order:
+    per hash bit, whether an odd number of the tokens from that place on has it."""
+    def words(t):
+        bit = mixed(t.view(np.uint64)) % np.uint64(64 * PARITY_WORDS)
+        out = np.zeros((len(t), PARITY_WORDS), np.uint64)
+        out[np.arange(len(t)), bit >> np.uint64(6)] = np.uint64(1) << (bit & np.uint64(63))
+        return out
+    before = np.bitwise_xor.accumulate(np.concatenate([np.zeros((1, PARITY_WORDS), np.uint64), words(first[:-1])]))
+    return (before ^ np.bitwise_xor.reduce(words(tokens))).view(np.int64)
 
 
 def rare_pairs(left: DataFrame, percent=PERCENT) -> DataFrame:
@@ -305,6 +311,7 @@ def rare_pairs(left: DataFrame, percent=PERCENT) -> DataFrame:
     shared = left.sparkSession.sparkContext.broadcast((top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
 
     odd = [f"odd{k}" for k in range(PARITY_WORDS)]
+    columns = ["token", "node", "group", "n", "position", *odd]
 
     def prefixes(batches):
         known, count = shared.value
@@ -315,15 +322,17 @@ def rare_pairs(left: DataFrame, percent=PERCENT) -> DataFrame:
                 at = np.minimum(np.searchsorted(known, t), max(len(known) - 1, 0))
                 often = np.where(known[at] == t, count[at], 0) if len(known) else np.zeros(len(t), np.int64)
                 keep = np.lexsort((t, often))[:n - least_overlap(n, percent) + 1]
-                out.append((t[keep], node, group, n, *parities(t), np.arange(len(keep))))
+                out.append((t[keep], node, group, n, np.arange(len(keep)), parities(t, t[keep])))
+            if not out:
+                continue
             sizes = [len(o[0]) for o in out]
+            of = lambda k: np.concatenate([o[k] for o in out])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([o[0] for o in out])),
-                 *[pa.array(np.repeat(np.array([o[k] for o in out], np.int64), sizes)) for k in range(1, 4 + PARITY_WORDS)],
-                 pa.array(np.concatenate([o[-1] for o in out]))], names=["token", "node", "group", "n", *odd, "position"])
+                [pa.array(of(0)), *[pa.array(np.repeat(np.array([o[k] for o in out], np.int64), sizes)) for k in (1, 2, 3)],
+                 pa.array(of(4)), *[pa.array(c) for c in of(5).T.copy()]], names=columns)
 
     found = materialize(left.select("node", "group", "n", "tokens").mapInArrow(
-        prefixes, ", ".join(f"{c} long" for c in ("token", "node", "group", "n", *odd, "position"))), "prefixes")
+        prefixes, ", ".join(f"{c} long" for c in columns)), "prefixes")
     spread = found.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select("token")
     found = found.join(spread, "token")
     a, b = found.alias("x"), found.alias("y")
@@ -331,7 +340,8 @@ def rare_pairs(left: DataFrame, percent=PERCENT) -> DataFrame:
             & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
             & (F.least(F.col("x.n") - F.col("x.position"), F.col("y.n") - F.col("y.position")) * (100 + percent)
                >= (F.col("x.n") + F.col("y.n")) * percent)
-            & (reduce(add, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in odd]) * (100 + percent)
+            & (reduce(add, [F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in odd],
+                      F.col("x.position") + F.col("y.position")) * (100 + percent)
                <= (F.col("x.n") + F.col("y.n")) * (100 - percent)))
     return a.join(b, fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
