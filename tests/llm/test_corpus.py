@@ -58,6 +58,18 @@ def test_near_components(docs, odd):
     assert near.near_components(odd.limit(0)).count() == 0
 
 
+def test_parities_bound_the_difference():
+    """From any place on, parities differ in no more bits than the tokens do."""
+    rng = np.random.default_rng(5)
+    for size in (1, 7, 300):
+        a = rng.integers(-2**62, 2**62, size)
+        b = np.unique(np.concatenate([a[size // 5:], rng.integers(-2**62, 2**62, 3)]))
+        pa_, pb = near.parities(a, a), near.parities(b, b)
+        for i, j in ((0, 0), (size // 2, 0), (size - 1, len(b) - 1)):
+            bits = sum(bin(int(x) & (2**64 - 1)).count("1") for x in pa_[i] ^ pb[j])
+            assert bits <= len(set(a[i:]) ^ set(b[j:]))
+
+
 def test_near_copies_without_original(spark):
     """Copies that mostly lie below the threshold to each other still form the exact components."""
     rng = random.Random(3)
