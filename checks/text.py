@@ -242,7 +242,7 @@ def attribute_tokens(spark, sf):
  f AS (SELECT doc_id, token, value, CASE WHEN value > 0 THEN 'risky' ELSE 'safe' END AS side FROM att
   WHERE length(token) >= 3 AND NOT regexp_matches(token, '[^\x00-\x7F]') AND regexp_matches(token, '[A-Za-z]') AND value <> 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, side ORDER BY abs(value) DESC, token) AS rank, max(abs(value)) OVER (PARTITION BY doc_id, side) AS m FROM f)
- SELECT doc_id, side, rank, token, round(value, 6) AS value, round(100.0 * abs(value) / m, 1) AS weight FROM r WHERE rank <= 5""")
+ SELECT doc_id, side, rank, token, round(value, 6) AS value, round_even(100.0 * abs(value) / m, 1) AS weight FROM r WHERE rank <= 5""")
 def top_tokens(spark, sf):
     return WN.top_tokens(_attributions(spark, sf)).withColumn("value", r6("value"))
 

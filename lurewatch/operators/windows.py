@@ -49,7 +49,7 @@ def top_tokens(df: DataFrame, by="doc_id", token="token", value="value", k=5) ->
     top = df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     largest = F.max(F.abs(col(value))).over(W.partitionBy(by, "side"))
     return top.select(by, "side", "rank", token, value,
-                      F.round(100.0 * F.abs(col(value)) / largest, 1).alias("weight"))
+                      F.bround(100.0 * F.abs(col(value)) / largest, 1).alias("weight"))
 
 
 def number_sources(df: DataFrame, by="query_id", score="rerank_score", tie=("doc_id", "chunk_index")) -> DataFrame:
