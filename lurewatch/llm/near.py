@@ -246,21 +246,22 @@ def neighbour_pairs(left: DataFrame, percent=PERCENT) -> DataFrame:
     return before.filter(fits).select(F.least("node", "last_node").alias("a"), F.greatest("node", "last_node").alias("b")).distinct()
 
 
-def across_groups(grouped: DataFrame, buckets: int, percent=PERCENT) -> DataFrame:
+def across_groups(grouped: DataFrame, buckets: int, percent=PERCENT, **limits) -> DataFrame:
     """(node, shared): prefix tokens of a node that occur in the union of another group.
 
     ``grouped`` has node, group and tokens.  Each bucket keeps the incidences
     (token, group) once, so a group of thousands of near copies is one line per token.
+    ``limits`` are the packer's.
     """
     def run(batches):
-        packer = _Packer(buckets)
+        packer, groups = _Packer(buckets, **limits), {}
         for batch in batches:
             for node, group, tokens in zip(batch.column("node").to_pylist(), batch.column("group").to_pylist(), batch.column("tokens")):
                 t = np.frombuffer(tokens.as_buffer(), np.uint64)
+                groups[node] = group        # before the packer hands out its rows, this node's among them
                 if packer.add(node, t[:prefix_size(len(t), percent)]):
                     yield from _with_groups(packer, groups)
                     groups.clear()
-                groups[node] = group
         yield from _with_groups(packer, groups)
 
     def _with_groups(packer, groups):
@@ -269,8 +270,6 @@ def across_groups(grouped: DataFrame, buckets: int, percent=PERCENT) -> DataFram
                   for b in batch.column("labels")]
             yield batch.append_column("groups", pa.array(of, pa.binary()))
 
-    groups: dict = {}
-
     def count(table):
         label, rest = _unpacked(table)
         group = np.concatenate([np.frombuffer(g.as_buffer(), np.int64)[np.frombuffer(p.as_buffer(), np.uint16)]

@@ -85,6 +85,17 @@ def test_near_copies_without_original(spark):
     assert {r.doc_id: r.component_id for r in near.near_components(df).collect()} == want
 
 
+def test_across_groups_hands_out_early(spark):
+    """A task that hands out its postings several times counts what one that does so once counts."""
+    rng = np.random.default_rng(9)
+    sets = [(k, k % 7, np.unique(rng.integers(0, 200, 40).astype(np.uint64)).tobytes()) for k in range(60)]
+    grouped = spark.createDataFrame(sets, "node long, group long, tokens binary").coalesce(1)
+    want = sorted(near.across_groups(grouped, 4).collect())
+    assert len(want) == 60
+    for limits in ({"limit": 50}, {"most_labels": 1}, {"most_labels": 7}):
+        assert sorted(near.across_groups(grouped, 4, **limits).collect()) == want
+
+
 def test_repeated_bytes(spark):
     rng = random.Random(5)
     noise = lambda n: "".join(rng.choice("abcdefghij é\n") for _ in range(n))
