@@ -5,8 +5,9 @@ with other values keeps its template.  Windows of ``WIDTH`` template words are
 hash-joined with the windows of the benchmark; matches of one document and one
 item are followed along a diagonal (same distance between the positions), and
 the values in the slots are compared: one value of the item must stand against
-one value of the document throughout.  A pair counts when its consistent
-windows cover ``MIN_WORDS`` words or half of the item.
+one value of the document.  Where several do, the most frequent one is kept and
+the windows that hold another are dropped.  A pair counts when the windows left
+cover ``MIN_WORDS`` words or are half of the item's.
 
 Template windows are made in Arrow batches, canonical forms once per distinct
 word.  The benchmark's window hashes set bits of a bitmap of fixed size, and only
@@ -28,9 +29,10 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lurewatch.functions.common import sealed
 from lurewatch.llm.common import chunks, coded, keyed_text, words_of
 
 WIDTH, MIN_WORDS, MIN_LITERALS = 8, 13, 4
@@ -156,6 +158,27 @@ def document_windows(docs: DataFrame, marks: np.ndarray, key="doc_id", text="tex
     return keyed_text(docs, key, text).mapInArrow(run, f"doc_id long, crc long, size long, {WINDOW}")
 
 
+def lost_places(slots: str) -> Column:
+    """Places whose value is not the one that stands most often against the item's value.
+
+    On a tie the item's own value is kept, then the first one.
+    """
+    both = F.array_distinct(F.transform(slots, lambda s: F.struct(s.theirs.alias("theirs"), s.ours.alias("ours"))))
+
+    def vote(b):
+        at = F.transform(F.filter(slots, lambda s: (s.theirs == b.theirs) & (s.ours == b.ours)), lambda s: s.place)
+        return F.struct(b.theirs.alias("theirs"), (-F.size(at)).alias("minus"), (b.theirs != b.ours).alias("changed"),
+                        F.array_min(at).alias("first"), at.alias("at"))
+
+    votes = F.array_sort(F.transform(both, vote))
+    theirs = F.array_distinct(F.transform(slots, lambda s: s.theirs))
+    # in order, the first of each value of the item is kept
+    others = F.aggregate(votes, F.struct(F.lit(None).cast("string").alias("theirs"), F.array().cast("array<int>").alias("at")),
+                         lambda a, v: F.struct(v.theirs.alias("theirs"), F.when(a.theirs == v.theirs, F.concat(a["at"], v["at"]))
+                                               .otherwise(a["at"]).alias("at")), lambda a: a["at"])
+    return F.when(F.size(both) > F.size(theirs), others).otherwise(F.array().cast("array<int>"))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key="doc_id", text="text", item_key="item_id", item_text="text",
                  width: int = WIDTH, min_words: int = MIN_WORDS, min_share: float = 0.5) -> DataFrame:
     """Pairs (document, item) whose templates agree: windows, covered words, slots, verdict details."""
@@ -170,17 +193,19 @@ def contaminated(docs: DataFrame, items: DataFrame, key="doc_id", text="text", i
     who = ["doc_id", "crc", "size", "item_id", "diagonal"]
     # one group is one passage of an item: its size is bounded by the item
     lines = hits.groupBy(*who).agg(
-        F.array_sort(F.collect_set("item_position")).alias("at"), F.min("position").alias("first"),
+        F.array_sort(F.collect_set("item_position")).alias("at"),
         F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
+    lines = sealed(lines, [*who, "at", "slots"], {"lost": lost_places("slots")})
+    lines = sealed(lines, [*who, "slots"], {"at": F.filter("at", lambda p: ~F.exists("lost", lambda q: (q >= p) & (q < p + width)))})
+    lines = sealed(lines, [*who, "at"], {"slots": F.filter("slots", lambda s: F.exists(
+        "at", lambda p: (s.place >= p) & (s.place < p + width)))})
     covered = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(-width).alias("last")), lambda a, p: F.struct(
         (a.n + F.least(p - a["last"], F.lit(width))).alias("n"), p.alias("last")), lambda a: a.n)
-    theirs, both = F.array_distinct(F.transform("slots", lambda s: s.theirs)), F.array_distinct(
-        F.transform("slots", lambda s: F.struct(s.theirs, s.ours)))
-    lines = lines.select(*who, "first", F.size("at").alias("n_windows"), covered.alias("n_words"),
-                         F.size(theirs).alias("n_slots"), (F.size(both) - F.size(theirs)).alias("n_clashes"),
+    lines = lines.select(*who, (F.col("diagonal") + F.get("at", F.lit(0))).alias("first"), F.size("at").alias("n_windows"),
+                         covered.alias("n_words"), F.size(F.array_distinct(F.transform("slots", lambda s: s.theirs))).alias("n_slots"),
                          F.size(F.filter("slots", lambda s: s.theirs != s.ours)).alias("n_changed"))
     enough = (F.col("n_words") >= min_words) | (F.col("n_windows") >= min_share * F.col("item_windows"))
-    good = lines.join(totals, "item_id").filter((F.col("n_clashes") == 0) & enough)
+    good = lines.join(totals, "item_id").filter(enough)
     best = F.max(F.struct("n_words", "n_windows", (-F.col("n_changed")).alias("same"), (-F.col("first")).alias("early"),
                           "n_slots")).alias("b")
     return good.groupBy("doc_id", "crc", "size", "item_id").agg(best).select(

@@ -116,6 +116,28 @@ def test_decontamination(spark, odd):
     assert decontaminate.contaminated(odd, items).count() == 0 and decontaminate.contaminated(df, items.limit(0)).count() == 0
 
 
+def test_decontamination_drops_only_clashing_windows(spark):
+    """One edited value takes its own windows away, not the item's others."""
+    item = ("If Anna drives 120 km in 2 hours how far does she get with the same speed in 5 hours on this road "
+            "when after 2 more stops the old car has to wait for the slow train at the long bridge")
+    roles = ("A farmer sells 2 apples and 2 pears at the market in the morning and then walks home along the river "
+             "to feed the hens before the sun goes down")
+    rows = [(1, item.replace("120", "90")), (2, item.replace("after 2 more", "after 4 more")),
+            (3, roles.replace("2 apples", "3 apples").replace("2 pears", "5 pears")), (4, item), (5, roles),
+            (6, "We saw 3 apples and 5 pears at the market in the town")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(7, item), (8, roles)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(df, items).collect()}
+    assert set(got) == {1, 2, 3, 4, 5}
+    n, m = len(item.split()), len(roles.split())
+    words = lambda k: (got[k].item_id, got[k].n_words, got[k].n_windows, got[k].n_changed, got[k].position)
+    # the item's first two windows have too few plain words
+    assert words(4) == (7, n - 2, n - 9, 0, 2) and words(1) == (7, n - 2, n - 9, 1, 2) and words(5) == (8, m, m - 7, 0, 0)
+    assert words(2) == (7, n - 3, n - 9 - 8, 0, 2)      # the eight windows over the edited place are lost
+    assert words(3) == (8, m - 7, m - 7 - 7, 0, 7)
+    assert [r.doc_id for r in decontaminate.without_contaminated(df, items).collect()] == [6]
+
+
 def test_shards(odd, docs):
     for df in (odd.drop("shard"), docs, odd.limit(0)):
         rows = shards.interleave(df, shards=4).collect()
