@@ -4,10 +4,12 @@ Base entities (email, ip, card, phone) are found by fixed patterns and checks.
 They are the seeds.  Each identifier-like mention (a run of non-space characters
 with a digit or an at sign) has lexical patterns: the word before it, the two
 words before it, and the words around it.  Patterns and instances form a
-bipartite graph.  Rounds of two aggregations score it: a pattern is worth the
-mean score of its distinct instances, an instance the noisy-or of its trusted
-patterns; seeds stay at 1.  Patterns with enough distinct seeds and a high score
-mark further mentions as kind ``id``.
+bipartite graph.  Rounds of two aggregations score it until no pattern is added: an
+instance is worth the noisy-or of its trusted patterns, seeds stay at 1; a pattern
+is worth the mean score of its distinct seeds, discovered instances (from the second
+round on) and values that are not shaped like identifiers, which score 0.  Unseen
+identifier-shaped values count neither way.  Patterns with enough distinct seeds and
+discovered instances and a high score mark further mentions as kind ``id``.
 
 Native DataFrame operations.  Match positions come from lining up the matches
 with the gaps that the same pattern leaves.  The patterns are written with
@@ -47,7 +49,7 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": "[0-9]\\.[0-9]", "card": "[0-9]", "phone": "\\+[0-9]"}
 MENTION = f"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 CONTEXT = 80            # characters beside a mention that hold its lexical pattern
-ROUNDS, MIN_SEEDS, MIN_SCORE = 2, 5, 0.9
+MIN_SEEDS, MIN_SCORE = 5, 0.9
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -137,33 +139,52 @@ def patterns_of(mention: Column) -> Column:
                    F.concat(one, F.lit(" _ "), F.col(f"{mention}.after")))
 
 
-def score_patterns(edges: DataFrame, rounds: int, min_seeds: int, min_score: float) -> DataFrame:
-    """(pattern, score) of trusted patterns from distinct (pattern, value, seed) edges."""
-    instances = edges.withColumn("score", F.col("seed").cast("double"))
-    for k in range(rounds):
-        patterns = instances.groupBy("pattern").agg(F.avg("score").alias("trust"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-        patterns = patterns.filter((F.col("seeds") >= min_seeds) & (F.col("trust") >= min_score)).select("pattern", "trust")
-        if k == rounds - 1:
-            return patterns
-        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))
-        values = edges.filter(~F.col("seed")).join(patterns, "pattern").groupBy("value").agg((1 - doubt).alias("found"))
-        instances = edges.join(values, "value", "left").withColumn(
-            "score", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0)))).drop("found")
-
+def score_patterns(edges: DataFrame, rounds: int | None, min_seeds: int, min_score: float) -> DataFrame:
+    """(pattern, trust) of trusted patterns from distinct (pattern, value, seed, shaped) edges.
 
-def find_pii(docs: DataFrame, key="doc_id", text="text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
+    Seeds and discovered instances support a pattern, unseen values that are not
+    shaped like identifiers speak against it, other unseen ones do neither.  A
+    pattern keeps the trust it is admitted with; a discovered instance scores no
+    less than ``min_score``, so further ones never make an admitted pattern unfit.
+    Ends when a round adds no pattern, or after ``rounds``.
+    """
+    unseen = ~F.col("seed") & F.col("shaped")
+    counts = edges.groupBy("pattern").agg(*[F.sum(c.cast("long")).alias(n) for n, c in (
+        ("seeds", F.col("seed")), ("unseen", unseen), ("against", ~F.col("seed") & ~F.col("shaped")))])
+    fits = lambda n, score: (n >= min_seeds) & (score >= min_score * (n + F.col("against")))
+    # the others stay below the bounds even if all their unseen values are found
+    able = F.col("seeds") + F.col("unseen")
+    counts = materialize(counts.filter(fits(able, able)), "patterns")
+    open_ = materialize(edges.filter(unseen).select("pattern", "value").join(counts.select("pattern"), "pattern"), "unseen")
+    trusted = materialize(counts.filter(fits(F.col("seeds"), F.col("seeds"))).select(
+        "pattern", (F.col("seeds") / (F.col("seeds") + F.col("against"))).alias("trust")), "trusted")
+    added, k = trusted.count(), 1
+    while added and (rounds is None or k < rounds):
+        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))
+        values = open_.join(trusted, "pattern").groupBy("value").agg((1 - doubt).alias("found"))
+        support = open_.join(trusted, "pattern", "left_anti").join(values, "value").groupBy("pattern").agg(
+            F.sum("found").alias("found"), F.count("*").alias("n"))
+        n, score = F.col("seeds") + F.col("n"), F.col("seeds") + F.col("found")
+        more = materialize(counts.join(support, "pattern").filter(fits(n, score)).select(
+            "pattern", (score / (n + F.col("against"))).alias("trust")), "trusted")
+        added, k = more.count(), k + 1
+        trusted = trusted.unionByName(more)
+    return trusted
+
+
+def find_pii(docs: DataFrame, key="doc_id", text="text", rounds: int | None = None, min_seeds: int = MIN_SEEDS,
              min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, text_hash and ``spans`` (kind, start, end, value), base kinds first, of every row."""
     rows = keyed_text(docs, key, text).withColumn("text_hash", F.xxhash64("text"))
     rows = materialize(with_mentions(base_spans(rows)), "pii")      # small: spans only, read twice
     mentions = rows.select("doc_id", "text_hash", F.explode("__mentions").alias("m")).select(
         "doc_id", "text_hash", "m.start", "m.end", "m.value", "m.seed", patterns_of("m").alias("patterns"))
-    edges = mentions.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(
-        F.max("seed").alias("seed"))
+    # only mentions that look like identifiers: six characters, two digits
+    shaped = F.col("value").rlike("^[^\\s]*[0-9][^\\s]*[0-9][^\\s]*$") & (F.length("value") >= 6)
+    edges = materialize(mentions.select(F.explode("patterns").alias("pattern"), "value", "seed").groupBy("pattern", "value").agg(
+        F.max("seed").alias("seed")).withColumn("shaped", shaped), "edges")
     trusted = score_patterns(edges, rounds, min_seeds, min_score)
-    # only mentions that look like identifiers: six characters, two digits, no plain number with a point
-    shaped = mentions.filter(~F.col("seed") & F.col("value").rlike("^[^\\s]*[0-9][^\\s]*[0-9][^\\s]*$")
-                             & (F.length("value") >= 6)).select(
+    shaped = mentions.filter(~F.col("seed") & shaped).select(
         "doc_id", "text_hash", "start", "end", "value", F.explode("patterns").alias("pattern"))
     new = shaped.join(trusted, "pattern").select("doc_id", "text_hash", F.struct(
         F.lit("id").alias("kind"), "start", "end", "value").alias("span")).groupBy("doc_id", "text_hash").agg(

@@ -97,6 +97,21 @@ def test_pii_bootstrap_finds_context(spark):
     assert got[99] == ["ZX99-1234"] and got[100] == []
 
 
+def test_pii_bootstrap_goes_on(spark):
+    """Discovered identifiers admit a pattern without seeds, however many unseen ones a pattern has."""
+    ids = [f"ZX{k}-12{k}4" for k in range(10, 50)]
+    rows = [f"please call badge a{i}@b.org now" for i in range(6)] + [f"please call badge {v} now" for v in ids]
+    rows += [f"the visitor pass {v} was shown" for v in ids[:6]] + ["the visitor pass QQ77-8899 was shown"]
+    rows += ["a locker key QQ77-8899 is kept", "chapter 10-20-30 ends"]
+    rows += [f"rooms near {v} are" for v in ids[:6]] + [f"rooms near {k} are" for k in range(6)] + ["rooms near 99-88-77 are"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    spans = lambda **o: {r.doc_id: [s.value for s in r.spans if s.kind == "id"] for r in pii.find_pii(df, **o).collect()}
+    got = spans()
+    found = {rows[k]: v for k, v in got.items() if v}
+    assert found == {t: [t.split()[3]] for t in rows if ("badge ZX" in t or "visitor pass" in t)}
+    assert {rows[k].split()[2] for k, v in spans(rounds=1).items() if v} == {"badge"}
+
+
 def test_licences(odd):
     got = {(r.unit, r.number, r.licence) for r in licences.scan_licences(odd).collect()}
     assert got == {("line", 1, "MIT notice")}
