@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import decontaminate, licences, lm, near, pack, paragraphs, pii, quality, repeats, shards
+from lurewatch.llm import decontaminate, licences, lm, near, pack, paragraphs, pii, quality, repeats, shards, simhash
 
 QUERIES = {
     "op1_best_fit_packing": pack.op1_best_fit_packing,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_maxent_scores": lm.op8_maxent_scores,
     "op9_stratified_shards": shards.op9_stratified_shards,
     "op10_repeated_paragraphs": paragraphs.op10_repeated_paragraphs,
+    "op11_simhash_groups": simhash.op11_simhash_groups,
 }
 ORACLES = {
     "op5_licence_scan": licences.oracle(),
