@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lurewatch.llm import decontaminate, licences, lm, near, pack, paragraphs, pii, quality, repeats, shards, simhash
+from lurewatch.llm import decontaminate, licences, lm, near, pack, paragraphs, pii, quality, repair, repeats, shards, simhash, trie
 
 QUERIES = {
     "op1_best_fit_packing": pack.op1_best_fit_packing,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_stratified_shards": shards.op9_stratified_shards,
     "op10_repeated_paragraphs": paragraphs.op10_repeated_paragraphs,
     "op11_simhash_groups": simhash.op11_simhash_groups,
+    "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_structure_repair": repair.op13_structure_repair,
 }
 ORACLES = {
     "op5_licence_scan": licences.oracle(),
