@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4_000_000   # text that one numpy step holds at once
+BATCH_BYTES = 8 << 20     # of an Arrow batch between the JVM and a Python worker
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -16,8 +17,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, not by rows alone; holds for the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def keyed_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key as long and text with null as the empty string; other columns are left out."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"),
                        F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
 

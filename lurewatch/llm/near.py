@@ -55,6 +55,7 @@ HASHES, ELECTED = 16, 3         # min-hashes per node, elected nodes a node is c
 BITMAP_BITS = 1 << 24           # 2 MB
 PARITY_WORDS = 4                # longs of parity bits per posting in step 5
 FREQUENT = 1 << 18              # tokens whose frequency orders step 5
+PREFIX_NODES = 500              # nodes whose postings step 5 makes at once
 POSTINGS = 700_000              # aimed at per hash bucket
 MULTIPLIERS = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -206,9 +207,12 @@ def token_sets(docs: DataFrame, chosen: DataFrame, width=WIDTH) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent=PERCENT) -> DataFrame:
-    """Those (a, b) whose sets pass the exact test."""
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+    """Those (a, b) whose sets pass the exact test.
+
+    Sets grow with the texts, so they are shuffled, never broadcast.
+    """
+    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("ta")).hint("merge")
+    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")).hint("merge")
 
     def run(batches):
         for batch in batches:
@@ -314,7 +318,7 @@ def rare_pairs(left: DataFrame, percent=PERCENT) -> DataFrame:
 
     def prefixes(batches):
         known, count = shared.value
-        for batch in batches:
+        for batch in (b.slice(k, PREFIX_NODES) for b in batches for k in range(0, b.num_rows, PREFIX_NODES)):
             out = []
             for node, group, n, t in zip(*(batch.column(c).to_pylist() for c in ("node", "group", "n", "tokens"))):
                 t = np.frombuffer(t, np.int64)
@@ -365,9 +369,10 @@ def near_components(docs: DataFrame, key="doc_id", text="text", percent: int = P
 
     def unsettled(links):
         groups = components(links)
-        grouped = sets.join(groups, "node", "left").select("node", "n", "mins", "tokens", F.coalesce("component", "node").alias("group"))
+        grouped = sets.hint("merge").join(groups, "node", "left").select(
+            "node", "n", "mins", "tokens", F.coalesce("component", "node").alias("group"))
         open_ = across_groups(grouped, few, percent)
-        return materialize(grouped.join(open_, "node").filter(F.col("shared") >= need("n")).drop("shared"), "left")
+        return materialize(grouped.hint("merge").join(open_, "node").filter(F.col("shared") >= need("n")).drop("shared"), "left")
 
     left = unsettled(links)
     links = materialize(links.union(verified(neighbour_pairs(left, percent), left, percent)), "links")
@@ -381,6 +386,10 @@ def near_components(docs: DataFrame, key="doc_id", text="text", percent: int = P
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
 
 
+def _row_bit(key, text_hash):
+    return F.pmod(F.xxhash64(key, text_hash), F.lit(BITMAP_BITS))
+
+
 def without_near_copies(docs: DataFrame, key="doc_id", text="text") -> DataFrame:
     """``docs`` with one row of each component: the one with the smallest key (a null key last);
     rows without words all stay."""
@@ -391,10 +400,20 @@ def without_near_copies(docs: DataFrame, key="doc_id", text="text") -> DataFrame
     others = materialize(found.join(heads, "set").groupBy("doc_id", "text_hash").agg(
         F.max(head).alias("head"), F.count("*").alias("copies")).filter("not head or copies > 1").select(
         F.col("doc_id").alias("__id"), F.col("text_hash").alias("__other"), F.col("head").alias("__head")), "others")
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))))
+    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))).withColumn(
+        "__bit", _row_bit(F.col(f"`{key}`").cast("long"), F.col("__hash")))
+    # only rows named in others can change: a bitmap of fixed size spares the texts of the rest the shuffle
+    bits = others.select(_row_bit(F.col("__id"), F.col("__other")).alias("bit")).select(
+        F.shiftright("bit", 6).alias("__at"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask")).groupBy("__at").agg(
+        F.bit_or("mask").alias("__mask"))
+    bits = materialize(bits, "bits")
+    marked = rows.join(F.broadcast(bits), F.shiftright("__bit", 6) == F.col("__at"), "left")
+    hit = F.expr("shiftright(coalesce(__mask, 0L), cast(__bit & 63 as int)) & 1L") == 1
     same = F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__other"))
-    once = rows.join(others.filter("__head"), same, "left_semi").dropDuplicates([key, "__hash"])
-    return rows.join(others, same, "left_anti").unionByName(once).select(*[f"`{c}`" for c in docs.columns])
+    open_ = materialize(marked.filter(hit).drop("__at", "__mask").join(others, same, "left").filter("__head is null or __head"), "open")
+    once = open_.filter("__head").dropDuplicates([key, "__hash"])
+    columns = [f"`{c}`" for c in docs.columns]
+    return marked.filter(~hit).select(columns).union(open_.filter("__head is null").select(columns)).union(once.select(columns))
 
 
 def op3_jaccard_groups(spark, sf_dir):

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lurewatch.llm.common import chunks, segment_sums, words_of
+from lurewatch.llm.common import bounded_batches, chunks, segment_sums, words_of
 from lurewatch.llm.vocab import vocabulary, word_ids
 
 # (least, most) characters per token, most byte-fallback share, most share of
@@ -137,6 +137,7 @@ def quality_rules(docs: DataFrame, key="doc_id", text="text", lang="lang",
     ``pieces`` names the vocabulary file, ``bands`` replaces :data:`BANDS`.
     """
     bands = {**BANDS, **(bands or {})}
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         table, marks = word_ids("piece", vocabulary(pieces)), mark_ids(vocabulary(pieces))
@@ -153,18 +154,16 @@ def keep_quality(docs: DataFrame, key="doc_id", text="text", lang="lang",
                  pieces: str = "piece_bpe_32k.model", bands: dict | None = None) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
     bands = {**BANDS, **(bands or {})}
-    names = docs.columns
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         table, marks = word_ids("piece", vocabulary(pieces)), mark_ids(vocabulary(pieces))
-        for part in chunks(batches, "__text"):
-            rows = pa.RecordBatch.from_arrays([part.column("__id"), part.column("__text"), part.column("__lang")],
-                                              names=["doc_id", "text", "lang"])
-            yield part.select(names).filter(measure(rows, table, marks, bands).column("kept"))
-
-    rows = docs.withColumns({"__id": F.col(f"`{key}`").cast("long"), "__lang": F.col(f"`{lang}`").cast("string"),
-                             "__text": F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))})
-    return rows.mapInArrow(run, docs.schema)
+        for part in chunks(batches, text):            # the text travels once
+            rows = pa.RecordBatch.from_arrays([part.column(key), pc.fill_null(part.column(text).cast(pa.string()), ""),
+                                               part.column(lang).cast(pa.string())], names=["doc_id", "text", "lang"])
+            yield part.filter(measure(rows, table, marks, bands).column("kept"))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_quality_fertility(spark, sf_dir):
