@@ -11,6 +11,7 @@ from lurewatch.functions import urls as U
 from lurewatch.plans.url_features import url_features_v1_lexical
 from lurewatch.session import scratch_path
 from lurewatch.sources import readers as RD
+from lurewatch.sources import versioned as VT
 from lurewatch.sources import writers as WR
 
 r6 = lambda c: F.round(c, 6)
@@ -95,6 +96,22 @@ def upsert_table(spark, sf):
     return spark.read.parquet(path).select("doc_id", "chunk_index", "content")
 
 
+@query("versioned_upserts", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE source END AS content, 3 AS newest FROM documents
+ UNION ALL SELECT item_id + 1000000, 'added', 3 FROM benchmark""")
+def versioned_upserts(spark, sf):
+    """Commits by key into a versioned table; the last one is delivered twice."""
+    path = scratch_path(spark, "versions")
+    base = table(spark, sf, "documents").select("doc_id", F.col("source").alias("content"), F.lit(1).alias("turn"))
+    changed = base.filter("doc_id % 3 = 0").withColumns({"content": F.lit("new"), "turn": F.lit(3)})
+    stale = changed.withColumns({"content": F.lit("old"), "turn": F.lit(2)})
+    added = table(spark, sf, "benchmark").select((F.col("item_id") + 1000000).alias("doc_id"), F.lit("added").alias("content"), F.lit(2).alias("turn"))
+    VT.commit(base, path, ["doc_id"], "turn", buckets=8)
+    VT.commit(changed.unionByName(stale), path, ["doc_id"], "turn", stream="s", batch=0)
+    VT.commit(added, path, ["doc_id"], "turn", stream="s", batch=1)
+    newest = VT.commit(stale, path, ["doc_id"], "turn", stream="s", batch=1)
+    return VT.read_version(spark, path).select("doc_id", "content", F.lit(newest).alias("newest"))
+
+
 @query("append_scans", "SELECT event_id AS id, count(*) AS n FROM events GROUP BY 1")
 def append_scans(spark, sf):
     path = scratch_path(spark, "scans")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from checks.bind import MESSY, PROBE, Q, messy_urls, probe_urls, sql_list, table
 from checks.registry import query
 from lurewatch import fixed
+from lurewatch.dims import Dims
 from lurewatch.functions import hosts as H
 from lurewatch.functions import urls as U
+from lurewatch.functions.suffixes import suffix_rules
 from lurewatch.functions.common import strings
 from lurewatch.plans import url_features as P
 
@@ -128,9 +130,83 @@ def deep_url_stats(spark, sf):
     return out.select("n", "deep", "query", r6("deep_share").alias("deep_share"), r6("query_share").alias("query_share"))
 
 
-@query("exclude_hosts", f"SELECT page_id, url FROM ({PROBE}) WHERE NOT contains(lower(url), 'github.io')")
+FEED_HOSTS = ["github.io", "Example.org/", ".vercel.app"]
+
+
+@query("exclude_hosts", f"SELECT page_id, url FROM ({PROBE}) WHERE NOT regexp_matches(url, '(?i)github\\.io|example\\.org/|\\.vercel\\.app')")
 def exclude_hosts(spark, sf):
-    return probe_urls(spark, sf).filter(~F.lower("url").contains("github.io"))
+    return U.without_hosts(probe_urls(spark, sf), "url", FEED_HOSTS)
+
+
+RULES = ["// rules", "", "com", "org", "net", "ng", "gov.ng", "ke", "ac.ke", "hu", "co.hu", "*.ck", "!www.ck", "jp", "*.kawasaki.jp",
+         "!city.kawasaki.jp", "uk", "co.uk  trailing text", "GOV.UK"]
+TAILS = ["gov.ng", "ng", "ac.ke", "co.hu", "ck", "any.ck", "www.ck", "a.www.ck", "kawasaki.jp", "ward.kawasaki.jp", "city.kawasaki.jp",
+         "co.uk", "gov.uk", "unlisted", "co.unlisted", "com"]
+
+
+def ruled_sql():
+    """CTEs: rule table, hosts of the pages under every tail, suffix size by testing every rule against every host."""
+    return f"""rules AS (SELECT DISTINCT lower(split_part(trim(r), ' ', 1)) AS r FROM (SELECT unnest({sql_list(RULES)}) AS r)
+   WHERE trim(r) <> '' AND NOT starts_with(trim(r), '//')),
+ h AS (SELECT page_id, lower(split_part(split_part(url, '://', 2), '.', 1)) || '.' || {sql_list(TAILS)}[page_id % {len(TAILS)} + 1] AS host FROM pages),
+ m AS (SELECT page_id, max(CASE WHEN starts_with(r, '!') THEN len(string_split(r, '.')) - 1 END) AS except_n,
+   max(len(string_split(r, '.'))) AS n FROM h, rules WHERE ends_with('.' || host, '.' || ltrim(r, '!*.'))
+   AND (NOT starts_with(r, '*.') OR ends_with(host, substr(r, 2))) GROUP BY page_id),
+ d AS (SELECT page_id, host, string_split(host, '.') AS ls, coalesce(except_n, n, 1) AS k FROM h LEFT JOIN m USING (page_id)),
+ ruled AS (SELECT page_id, host, CASE WHEN len(ls) > k THEN array_to_string(ls[len(ls) - k:], '.') ELSE '' END AS registered,
+   array_to_string(ls[len(ls) - k + 1:], '.') AS suffix FROM d)"""
+
+
+def ruled_urls(spark, sf):
+    tail = F.get(strings(TAILS), (F.col("page_id") % len(TAILS)).cast("int"))
+    host = F.lower(F.concat_ws(".", F.regexp_extract("url", "^https?://([^./]*)", 1), tail))
+    return table(spark, sf, "pages").select("page_id", host.alias("host"), F.concat(F.lit("https://"), host, F.lit("/x")).alias("url"))
+
+
+def rule_table(spark):
+    return suffix_rules(spark.createDataFrame([(r,) for r in RULES], "value string"))
+
+
+@query("suffix_rule_domains", f"WITH {ruled_sql()} SELECT * FROM ruled")
+def suffix_rule_domains(spark, sf):
+    """Registered domains by a rule table with wildcards and exceptions."""
+    df = U.with_domain(U.with_url_parts(ruled_urls(spark, sf)), suffixes=rule_table(spark))
+    return df.select("page_id", "host", F.col("u_registered").alias("registered"), F.col("u_suffix").alias("suffix"))
+
+
+@query("suffix_rule_split", f"""WITH {ruled_sql()} SELECT registered AS domain, count(*) AS n,
+ CASE WHEN CAST(('0x' || left(md5(registered || '|7'), 8)) AS BIGINT) / 4294967296.0 < 0.6 THEN 'train' ELSE 'test' END AS split
+ FROM ruled WHERE registered <> '' GROUP BY 1""")
+def suffix_rule_split(spark, sf):
+    """A domain-disjoint split by the rule table: one side per registered domain."""
+    from lurewatch.operators.sampling import domain_split
+    df = domain_split(ruled_urls(spark, sf), "url", 0.4, 7, suffixes=rule_table(spark)).filter("not startswith(domain, 'http')")
+    return df.groupBy("domain", "split").agg(F.count("*").alias("n"))
+
+
+DICTIONARY = "SELECT DISTINCT lower(unnest(string_split(p_name, ' '))) AS w FROM part WHERE p_size < 25"
+SUBS = """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'my' || a || b WHEN 1 THEN reverse(a) || '-' || b WHEN 2 THEN reverse(a) || reverse(b)
+  WHEN 3 THEN left(a, 2) || '7' || reverse(b) ELSE '' END AS sub
+  FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)"""
+
+
+@query("word_features", rf"""WITH w AS ({DICTIONARY}), s AS ({SUBS}),
+ t AS (SELECT p_partkey, regexp_replace(unnest(list_filter(regexp_split_to_array(lower(sub), '[-_.\d]+'), lambda x: x <> '')), '[^\p{{L}}]', '', 'g') AS tok FROM s),
+ c AS (SELECT p_partkey, count(*) AS n, count(*) FILTER (NOT (length(tok) < 3 OR EXISTS (SELECT 1 FROM w WHERE w = tok
+   OR (length(w) >= 4 AND contains(tok, w))))) AS bad FROM t GROUP BY 1)
+ SELECT p_partkey, sub, CAST(coalesce(round(bad / CAST(n AS DOUBLE), 6), 0) AS DOUBLE) AS nonword_ratio, CAST(CASE WHEN n > 0 AND n = bad THEN 1 ELSE 0 END AS DOUBLE) AS has_no_words
+ FROM s LEFT JOIN c USING (p_partkey)""")
+def word_features(spark, sf):
+    """Dictionary features against a word table: sub-domains made of part names, words of the small parts."""
+    part = table(spark, sf, "part")
+    words = part.filter("p_size < 25").select(F.explode(F.split("p_name", " ")).alias("word"))
+    a, b, k = F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_partkey") % 5
+    sub = (F.when(k == 0, F.concat(F.lit("my"), a, b)).when(k == 1, F.concat(F.reverse(a), F.lit("-"), b))
+           .when(k == 2, F.concat(F.reverse(a), F.reverse(b))).when(k == 3, F.concat(F.substring(a, 1, 2), F.lit("7"), F.reverse(b))).otherwise(""))
+    urls = part.select("p_partkey", sub.alias("sub")).withColumn("url", F.concat(
+        F.lit("https://"), "sub", F.when(F.col("sub") != "", ".").otherwise(""), F.lit("shop-1.com/")))
+    df = P.url_features_v2(urls, dims=Dims.from_tables(words=words))
+    return df.select("p_partkey", "sub", r6("subdomain_nonword_ratio").alias("nonword_ratio"), F.col("subdomain_has_no_words").alias("has_no_words"))
 
 
 SHORT = ["bit.ly", "www.bit.ly", "example.org", "T.co", ".goo.gl", "www.example.com", "is.gd"]

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lurewatch import fixed
+from lurewatch.functions.dictionary import word_table
 
 # Largest list that is turned into literals; longer ones are refused rather
 # than silently shipped with every task.
@@ -38,8 +39,9 @@ class Dims:
 
     def __post_init__(self):
         for name in ("words", "suffixes", "rule_platforms", "feature_platforms"):
-            if len(getattr(self, name)) > MAX_LITERALS:
-                raise ValueError(f"{name} has more than {MAX_LITERALS} entries")
+            value = getattr(self, name)
+            if not isinstance(value, DataFrame) and len(value) > MAX_LITERALS:
+                raise ValueError(f"{name} has more than {MAX_LITERALS} entries; give a table")
 
     @property
     def brands(self):
@@ -49,14 +51,31 @@ class Dims:
     def legit_domains(self):
         return sorted({d for ds in self.brand_domains.values() for d in ds})
 
+    @classmethod
+    def from_tables(cls, words: DataFrame | None = None, suffixes: DataFrame | None = None, **lists):
+        """Dims whose dictionary (column word) or public-suffix rules are joined tables of any length.
+
+        See ``functions.dictionary.read_words`` and ``functions.suffixes.read_suffix_rules``.
+        """
+        if words is not None:
+            lists["words"] = word_table(words)
+        if suffixes is not None:
+            lists["suffixes"] = suffixes
+        return cls(**lists)
+
     @classmethod
     def from_files(cls, words=None, suffixes=None, **lists):
-        """Dims with a word list and a public-suffix file (one entry a line)."""
+        """Dims with a short word list and suffix list read on the driver (one entry a line).
+
+        Wildcard and exception rules need :meth:`from_tables`; a file that holds any is refused.
+        """
         if words:
             lists["words"] = sorted({*fixed.TECH_WORDS, *_entries(words)})
         if suffixes:
-            lists["suffixes"] = [s for s in _entries(suffixes)
-                                 if "." in s and s[0] not in "*!"]
+            rules = _entries(suffixes)
+            if any(s[0] in "*!" for s in rules):
+                raise ValueError("wildcard and exception rules need Dims.from_tables")
+            lists["suffixes"] = [s for s in rules if "." in s]
         return cls(**lists)
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lurewatch import fixed
 from lurewatch.functions.common import alternation, col, count_of, count_re, flag, ratio, sealed
+from lurewatch.functions.suffixes import with_suffix_size
 
 IPV4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
 
@@ -115,26 +116,37 @@ def unparsable(netloc) -> Column:
 def suffix_labels(host, suffixes) -> Column:
     """How many labels of the host form its public suffix (0 = none)."""
     host = col(host)
-    last = F.substring_index(host, ".", -1)
     out = F.when(host.rlike(IPV4) | host.contains(":"), 0)
     by_size = {}
     for s in suffixes:
         by_size.setdefault(s.count(".") + 1, []).append(s)
     for size in sorted((n for n in by_size if n > 1), reverse=True):
         out = out.when(F.substring_index(host, ".", -size).isin(by_size[size]), size)
-    return out.when(last.rlike(r"(?U)^(?:[^\W\d_]{2,}|xn--[a-z0-9\-]+)$"), 1).otherwise(0)
+    return out.otherwise(last_label_size(host))
+
+
+def last_label_size(host) -> Column:
+    """1 where the last label can be a top-level domain, else 0: the suffix of a host that meets no rule."""
+    host = col(host)
+    last = F.substring_index(host, ".", -1)
+    return F.when(~host.rlike(IPV4) & ~host.contains(":") & last.rlike(r"(?U)^(?:[^\W\d_]{2,}|xn--[a-z0-9\-]+)$"), 1).otherwise(0)
 
 
 def with_domain(df: DataFrame, host="u_host", prefix="u_", suffixes=fixed.MULTI_SUFFIXES) -> DataFrame:
     """Add registered domain, its first label, suffix and sub-domain.
 
-    The longest listed suffix wins; otherwise the last label is the suffix.
-    IP addresses and single labels have no registered domain.
+    ``suffixes`` is a short list, looked up in the row (the longest wins), or a rule table of
+    :func:`lurewatch.functions.suffixes.suffix_rules`, which knows wildcards and exceptions and
+    is joined.  Without a rule the last label is the suffix.  IP addresses and single labels have
+    no registered domain.
     """
     p, given = prefix, df.columns
     h = F.rtrim(F.col(host), F.lit("."))
     n_labels = count_of(h, ".") + 1
-    df = df.withColumn(p + "suffix_n", suffix_labels(h, suffixes))
+    if isinstance(suffixes, DataFrame):
+        df = with_suffix_size(df, h, p + "suffix_n", suffixes, last_label_size(h))
+    else:
+        df = df.withColumn(p + "suffix_n", suffix_labels(h, suffixes))
     k = F.col(p + "suffix_n")
     registered = F.when((k > 0) & (n_labels > k),
                         F.call_function("substring_index", h, F.lit("."), -(k + 1))).otherwise("")
@@ -274,6 +286,12 @@ def deleet(c) -> Column:
     return F.translate(F.translate(col(c), *fixed.LEET), "-_.", "")
 
 
+def without_hosts(df: DataFrame, c, fragments) -> DataFrame:
+    """Rows whose URL names none of the given hosts or host parts (any case); null URLs stay."""
+    url = F.lower(F.coalesce(col(c), F.lit("")))
+    return df.filter(~F.exists(F.array(*[F.lit(x.lower()) for x in fragments]), lambda x: F.contains(url, x))) if fragments else df
+
+
 # ------------------------------------------------------------------- hosts
 def is_shortener(host, hosts=fixed.SHORTENERS) -> Column:
     h = F.lower(F.coalesce(col(host), F.lit("")))

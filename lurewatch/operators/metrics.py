@@ -37,7 +37,7 @@ def binary_metrics(df: DataFrame, y="y", yhat="yhat", by=()) -> DataFrame:
     return with_rates(confusion(df, y, yhat, by))
 
 
-def roc_auc(df: DataFrame, score="p", y="y", lo=0.0, hi=1.0) -> DataFrame:
+def roc_auc(df: DataFrame, score="p", y="y") -> DataFrame:
     """Area under the ROC curve, ties counted half.
 
     Works on one row per distinct score; running sums are cut into buckets, so
@@ -45,7 +45,7 @@ def roc_auc(df: DataFrame, score="p", y="y", lo=0.0, hi=1.0) -> DataFrame:
     """
     y = col(y).cast("int")
     cum = cumulative_by_value(df, score, {"pos": (y == 1).cast("long"), "neg": (y == 0).cast("long")},
-                              lo, hi, descending=True)
+                              descending=True)
     area = F.sum(F.col("neg") * (F.col("pos_before") + F.col("pos") / 2.0))
     return cum.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), area.alias("_a")).select(
         "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),

@@ -49,29 +49,40 @@ def hash_rank(df: DataFrame, key, seed=0, by=(), out="rank", limit=None) -> Data
     return ranked.drop("_h", "_b", "_skip")
 
 
-def _value_bucket(c, lo, hi, buckets) -> Column:
-    """Bucket 0..buckets-1 of a number; values outside go to the end buckets."""
-    lo = F.lit(lo) if not isinstance(lo, Column) else lo
-    hi = F.lit(hi) if not isinstance(hi, Column) else hi
-    share = F.try_divide(col(c).cast("double") - lo, (hi - lo).cast("double"))
-    raw = F.floor(F.coalesce(share, F.lit(0.0)) * buckets)
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(buckets - 1)).cast("int")
+def quantile_borders(df: DataFrame, value, buckets) -> DataFrame:
+    """One row ``borders``: values that cut the column into about equally many rows each.
+
+    A mergeable quantile sketch, filled where the rows are; each border's rank is off by a
+    tenth of a bucket at most, whatever the distribution.
+    """
+    shares = [k / buckets for k in range(1, buckets)]
+    return df.agg(F.percentile_approx(col(value).cast("double"), shares, 10 * buckets).alias("borders"))
+
+
+def border_bucket(c, borders) -> Column:
+    """Number of borders at or below a value: among every 32nd first, then among the 32 after it."""
+    x = col(c).cast("double")
+    below = lambda xs: F.size(F.filter(xs, lambda b: b <= x))
+    every = F.filter(borders, lambda b, i: i % 32 == 31)
+    coarse = below(every) * 32
+    return F.coalesce(coarse + below(F.slice(borders, coarse + 1, F.lit(32))), F.lit(0)).cast("int")
 
 
-def cumulative_by_value(df: DataFrame, value, sums, lo=0.0, hi=1.0, buckets=1024,
-                        descending=False) -> DataFrame:
+def cumulative_by_value(df: DataFrame, value, sums, buckets=1024, descending=False) -> DataFrame:
     """One row per distinct value with running totals before it.
 
     ``sums`` maps a name to a numeric column; each gives ``name`` (total at the
     value) and ``name_before`` (total over all earlier values).  Equal values
     are merged before anything is shuffled, so a score shared by most rows is
-    one row here.  ``lo``/``hi`` only steer the balance of the buckets.
+    one row here.  Bucket borders are quantiles of the distinct values, so crowded
+    scores are spread as evenly as others.
     """
     names = list(sums)
     per_value = (df.groupBy(col(value).alias("value"))
                  .agg(*[F.sum(col(c)).alias(n) for n, c in sums.items()])
-                 .filter(F.col("value").isNotNull())
-                 .withColumn("_b", _value_bucket("value", lo, hi, buckets)))
+                 .filter(F.col("value").isNotNull()))
+    per_value = per_value.crossJoin(F.broadcast(quantile_borders(per_value, "value", buckets))).withColumn(
+        "_b", border_bucket("value", F.col("borders"))).drop("borders")        # one row is broadcast
     order = F.desc if descending else F.asc
     totals = per_value.groupBy("_b").agg(*[F.sum(n).alias(n) for n in names])
     earlier = W.orderBy(order("_b")).rowsBetween(W.unboundedPreceding, -1)  # at most `buckets` rows
@@ -83,27 +94,25 @@ def cumulative_by_value(df: DataFrame, value, sums, lo=0.0, hi=1.0, buckets=1024
                       for n in names]))
 
 
-def value_at(df: DataFrame, value, position, lo=0.0, hi=1.0, buckets=1024) -> DataFrame:
+def value_at(df: DataFrame, value, position, buckets=1024) -> DataFrame:
     """The value at a 0-based position of the sorted column.
 
     ``position`` maps the row count (a Column) to a position.  Returns one row
     ``n, value``.
     """
-    cum = cumulative_by_value(df, value, {"n": F.lit(1).cast("long")}, lo, hi, buckets)
+    cum = cumulative_by_value(df, value, {"n": F.lit(1).cast("long")}, buckets)
     total = df.filter(col(value).isNotNull()).agg(F.count("*").alias("total")).scalar()
     at = position(total)
     return (cum.filter((F.col("n_before") <= at) & (at < F.col("n_before") + F.col("n")))
             .select(total.alias("n"), "value"))
 
 
-def upper_median(df: DataFrame, value, lo=0.0, hi=1.0) -> DataFrame:
+def upper_median(df: DataFrame, value) -> DataFrame:
     """Element n // 2 of the sorted values (not the mean of the middle two)."""
-    return value_at(df, value, lambda n: F.floor(n / 2), lo, hi)
+    return value_at(df, value, lambda n: F.floor(n / 2))
 
 
 def ordinal(df: DataFrame, key, out="pos") -> DataFrame:
     """Add the 0-based position of every row by a unique numeric key."""
-    span = df.agg(F.min(key).cast("double").alias("lo"), F.max(key).cast("double").alias("hi"))
-    cum = cumulative_by_value(df, key, {"n": F.lit(1).cast("long")},
-                              span.select("lo").scalar(), span.select("hi").scalar())
+    cum = cumulative_by_value(df, key, {"n": F.lit(1).cast("long")})
     return df.join(cum.select(F.col("value").alias(key), F.col("n_before").alias(out)), key)

@@ -9,19 +9,29 @@ from lurewatch import fixed
 from lurewatch.dims import Dims
 from lurewatch.functions import urls as U
 from lurewatch.functions.common import col, count_of, flag, ratio, sealed
+from lurewatch.functions.dictionary import with_nonwords
 
 
 def url_features_v2(df: DataFrame, c="url", dims: Dims | None = None) -> DataFrame:
-    """Add the 37 string-only features (``fixed.FEATURES_V2``) as doubles."""
+    """Add the 37 string-only features (``fixed.FEATURES_V2``) as doubles.
+
+    With lists in ``dims`` this is one scan; a word or suffix table (``Dims.from_tables``) is joined by
+    sub-domain or host.  The default word list is technical terms only, so the three word features need a table
+    to know ordinary words.
+    """
     dims = dims or Dims()
     given = df.columns
     df = U.with_domain(U.with_url_parts(df, c, "_f_"), "_f_host", "_f_", dims.suffixes)
     df = df.withColumn("_f_labels", U.sub_labels("_f_subdomain"))
     df = df.withColumn("_f_sub", F.array_join("_f_labels", "."))
-    n_tok, n_bad = U.nonword_counts("_f_sub", dims.words)
+    if isinstance(dims.words, DataFrame):
+        df = with_nonwords(df, "_f_sub", dims.words, U.word_tokens, "_f_tok", "_f_bad")
+        n_tok, n_bad = F.col("_f_tok"), F.col("_f_bad")
+    else:
+        n_tok, n_bad = U.nonword_counts("_f_sub", dims.words)
     sub, path, query, reg = (F.col("_f_" + x) for x in ("sub", "path", "query", "registered"))
     df = df.select(
-        "*",
+        *[c for c in df.columns if c not in ("_f_tok", "_f_bad")],
         U.directory_v2(path).alias("_f_dir"),
         U.file_v2(path).alias("_f_file"),
         U.letters(sub).alias("_f_letters"),
