@@ -308,9 +308,12 @@ def rare_pairs(left: DataFrame, percent=PERCENT) -> DataFrame:
             for t in batch.column("tokens"):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t.as_buffer(), np.int64))], names=["token"])
 
-    counts = left.select("tokens").mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n"))
-    top = counts.filter("n > 1").orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()    # a fixed number of tokens
-    top = top.sort_values("token")
+    counts = left.select("tokens").mapInArrow(tokens, "token long").groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = materialize(counts.withColumn("level", F.floor(F.log2("n") * 16)), "counts")
+    levels = counts.groupBy("level").count().orderBy(F.desc("level")).toPandas()             # at most 16 * 64
+    held = levels["level"][levels["count"].cumsum() <= FREQUENT]
+    lowest = int(held.min()) if len(held) else 1 << 62
+    top = counts.filter(F.col("level") >= lowest).select("token", "n").toPandas().sort_values("token")   # at most FREQUENT tokens
     shared = left.sparkSession.sparkContext.broadcast((top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
 
     odd = [f"odd{k}" for k in range(PARITY_WORDS)]

@@ -1,5 +1,11 @@
 """Repeated paragraphs by MinHash banding, exact tests and components.
 
+Units are paragraphs and pieces.  Pieces find a passage inside a longer line or wrapped into
+short ones: boundaries stand at words whose hash, with the next word's, is the least of
+``RADIUS`` words to both sides, wherever they occur; a piece reaches from ``RADIUS`` words before a boundary to
+as many after the next, at least ``3 * RADIUS + 1`` words.  An edit leaves the pieces next to it as they are,
+so pieces are compared as whole word sequences and count where they occur in several documents.
+
 Paragraphs are lines of at least ``MIN_WORDS`` words.  Equal word sequences are one
 node.  Signatures are banded; the number of bands is tuned so that a pair at the
 threshold collides with probability ``RECALL`` or more.  Band keys travel packed, in
@@ -12,7 +18,7 @@ mostly do not.  A thousand near copies of one paragraph, one group by then, need
 comparison of all pairs.  The links' components are the classes of paragraphs; the
 first occurrence of a class (by key, then position) stays.
 
-Defined cases: null and empty texts have no paragraphs; shorter lines are never
+Defined cases: null and empty texts have no units; shorter lines are never
 removed; one document may hold several copies, of which all but the first go; rows
 with equal keys and equal paragraphs count once; a null key comes first; extra
 columns are not returned; an empty table gives an empty result.
@@ -34,6 +40,9 @@ from lurewatch.llm.shingles import MIX, mixed
 from lurewatch.session import materialize
 
 MIN_WORDS, WIDTH, ROWS, RECALL = 20, 5, 3, 0.999
+RADIUS = 6
+STEP = 0x9E3779B97F4A7C15
+BACK = pow(STEP, -1, 1 << 64)
 
 
 def tuned_bands(threshold: float, rows: int = ROWS, recall: float = RECALL) -> int:
@@ -229,7 +238,65 @@ def without_repeated_paragraphs(docs: DataFrame, key="doc_id", text="text", **op
         *[f"`{c}`" for c in docs.columns])
 
 
+def pieces(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, first, n_words, node) of every piece of (doc_id, text); ``first`` counts words from 0."""
+    def run(batches):
+        for part in chunks(batches):
+            words, n = words_of(pc.ascii_lower(part.column("text")))
+            if not len(words):
+                continue
+            codes, distinct = coded(words)
+            h = pd.util.hash_array(distinct.to_numpy(zero_copy_only=False), categorize=False)[codes]
+            doc, ends = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+            rank = mixed(h)
+            rank[:-1] = np.where(doc[1:] == doc[:-1], mixed(rank[:-1] * MIX + h[1:]), rank[:-1])
+            least = np.ones(len(h), bool)
+            for k in range(1, min(radius, len(h) - 1) + 1):
+                apart = doc[k:] != doc[:-k]
+                least[k:] &= apart | (rank[k:] < rank[:-k])
+                least[:-k] &= apart | (rank[:-k] <= rank[k:])
+            at = np.flatnonzero(least)
+            start, stop, of = at[:-1] - radius, at[1:] + radius, doc[at[:-1]]
+            good = (of == doc[at[1:]]) & (start >= (ends - n)[of]) & (stop <= ends[of])
+            start, stop, of = start[good], stop[good], of[good]
+            # sum of h[j] * STEP ** (j - start): the same wherever the words stand
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(STEP, len(h)))])
+            node = mixed((total[stop] - total[start]) * _powers(BACK, len(h))[start] + (stop - start).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id").take(pa.array(of)), pa.array(start - (ends - n)[of]), pa.array(stop - start), pa.array(node.view(np.int64))],
+                names=["doc_id", "first", "n_words", "node"])
+    return rows.mapInArrow(run, "doc_id long, first long, n_words long, node long")
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0, base ** 1, ... modulo 2**64."""
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def repeated_pieces(docs: DataFrame, key="doc_id", text="text", radius: int = RADIUS) -> DataFrame:
+    """One row per piece that occurs in several documents: doc_id, first, n_words, the kept one, class size, removed."""
+    seen = materialize(pieces(keyed_text(docs, key, text), radius), "pieces")
+    place = F.struct("doc_id", "first")
+    shared = seen.groupBy("node").agg(F.min(place).alias("kept"), F.max(place).alias("last")).filter(
+        ~F.col("kept.doc_id").eqNullSafe(F.col("last.doc_id"))).select("node", "kept")
+    held = materialize(seen.join(materialize(shared, "shared"), "node").distinct(), "held")
+    sizes = held.groupBy("node").agg(F.count("*").alias("class_size"))
+    here = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("first") == F.col("kept.first"))
+    return held.join(sizes, "node").select(
+        "doc_id", "first", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.first").alias("kept_first"), "class_size",
+        (~here).alias("removed"))
+
+
 def op10_repeated_paragraphs(spark, sf_dir):
-    """Every paragraph that repeats, exactly or nearly, in any document."""
+    """Every paragraph that repeats, exactly or nearly, and every piece that several documents share.
+
+    ``paragraph`` is the line's number, for a piece that of its first word.
+    """
     from lurewatch.llm.common import documents
-    return repeated_paragraphs(documents(spark, sf_dir))
+    docs = documents(spark, sf_dir)
+    lines = repeated_paragraphs(docs).withColumn("unit", F.lit("line"))
+    found = repeated_pieces(docs).withColumn("unit", F.lit("piece"))
+    return lines.withColumns({c: F.col(c).cast("long") for c in ("paragraph", "kept_paragraph")}).unionByName(
+        found.withColumnsRenamed({"first": "paragraph", "kept_first": "kept_paragraph"}))
