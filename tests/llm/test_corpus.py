@@ -44,6 +44,27 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_components_of_random_links(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(260)] + [(k, k - 1) for k in range(1000, 900, -1)]
+    links += [(a, b) for a in range(2000, 2025) for b in range(2000, 2025)] + [(-5, -5)]      # a dense group, a loop
+    near = defaultdict(set)
+    for a, b in links:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    want = {}
+    for node in sorted(near):
+        todo = [] if node in want else [node]
+        while todo:
+            at = todo.pop()
+            if want.setdefault(at, node) == node:
+                todo += [x for x in near[at] if x not in want]
+    df = spark.createDataFrame(links, "a long, b long")
+    assert {r.node: r.component for r in components.components(df).collect()} == want
+    assert components.components(df.limit(0)).count() == 0
+
+
 def test_near_components(docs, odd):
     sets = {r.doc_id: _shingles(words(r.text)) for r in docs.collect()}
     want = _classes(sets)
