@@ -92,6 +92,24 @@ def resolve_redirects(spark, sf):
     return out.select("page_id", "final_url", "redirected", F.array_join("redirect_chain", " ").alias("chain"), "blocked")
 
 
+@query("redirect_ends", f"""WITH RECURSIVE e AS MATERIALIZED ({EDGES}), m AS (SELECT count(*) AS n FROM pages), w AS (
+  SELECT url, url AS cur, 0 AS hop FROM e
+  UNION ALL SELECT w.url, e.location, hop + 1 FROM w JOIN e ON e.url = w.cur, m WHERE hop <= m.n AND e.public AND e.status = 302 AND e.location <> e.url),
+ l AS (SELECT url, arg_max(cur, hop) AS cur, max(hop) AS hops FROM w GROUP BY url)
+ SELECT url, CASE WHEN hops <= m.n THEN cur END AS final_url, CASE WHEN hops <= m.n THEN CAST(hops AS BIGINT) END AS hops, hops > m.n AS cycle FROM l, m""")
+def redirect_ends(spark, sf):
+    """Ends of redirect chains of any length; locations are absolute, by host, by path or relative."""
+    pages = table(spark, sf, "pages")
+    i = F.col("page_id")
+    n = pages.agg(F.count("*").alias("n")).scalar()
+    to = ((i * 7 + 1) % n).cast("string")
+    form = F.when(i % 4 == 0, F.concat(F.lit("https://r.example/"), to)).when(i % 4 == 1, F.concat(F.lit("//r.example/"), to)).when(
+        i % 4 == 2, F.concat(F.lit("/x/.././"), to)).otherwise(to)
+    return J.redirect_ends(pages.select(
+        F.concat(F.lit("https://r.example/"), i.cast("string")).alias("url"), F.when(i % 11 == 0, 200).otherwise(302).alias("status"),
+        form.alias("location"), (i % 13 != 5).alias("public")))
+
+
 QUIZ = "SELECT c_nationkey % 5 AS pos, chr(CAST(65 + c_nationkey % 4 AS INT)) AS correct_answer FROM customer"
 ANSWERS = "SELECT user_id AS quiz_id, event_id % 5 AS pos, max(chr(CAST(65 + event_id % 4 AS INT))) AS answer FROM events WHERE event_id % 3 <> 0 GROUP BY 1, 2"
 

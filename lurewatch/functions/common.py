@@ -76,3 +76,8 @@ def sealed(df: DataFrame, keep, columns: dict) -> DataFrame:
     """
     row = F.struct(*[c.alias(n) for n, c in columns.items()])
     return df.select(*keep, F.inline(F.array(row)))
+
+
+def once(value, use) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(col(value)), use), F.lit(0))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurewatch import fixed
-from lurewatch.functions.common import alternation, col, count_of, count_re, flag, ratio, sealed
+from lurewatch.functions.common import alternation, col, count_of, count_re, flag, once, ratio, sealed
 from lurewatch.functions.suffixes import with_suffix_size
 
 IPV4 = r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"
@@ -348,6 +348,42 @@ def in_list(c, items) -> Column:
 
 
 def host_of(c) -> Column:
-    """Lower-case host of a URL with a scheme (single expression)."""
-    netloc = F.regexp_extract(col(c), r"^[^:/?#]+://([^/?#]*)", 1)
-    return F.lower(F.substring_index(F.regexp_extract(netloc, r"([^@]*)$", 1), ":", 1))
+    """Lower-case host of a URL with a scheme (single expression); an IPv6 literal without its brackets."""
+    netloc = F.regexp_extract(F.regexp_extract(col(c), r"^[^:/?#]+://([^/?#]*)", 1), r"([^@]*)$", 1)
+    literal = F.regexp_extract(netloc, r"^\[([^\]]*)\]", 1)
+    return F.lower(F.when(literal != "", literal).otherwise(F.substring_index(netloc, ":", 1)))
+
+
+def without_dots(path) -> Column:
+    """Path with ``.`` and ``..`` segments resolved; a leading slash and a closing one stay."""
+    return once(F.split(col(path), "/"), _resolved)
+
+
+def _resolved(parts):
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), F.array().cast("array<string>"), lambda out, x: F.when(
+        x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.array_append(out, x)))
+    folder = F.element_at(parts, -1).isin(".", "..")
+    return once(kept, lambda xs: F.concat(F.lit("/"), F.array_join(xs, "/"), F.when(folder & (F.size(xs) > 0), "/").otherwise("")))
+
+
+def join_url(base, reference) -> Column:
+    """Absolute form of a reference found at ``base``, an absolute URL: other schemes, ``//host``, ``/path``,
+    ``path``, ``?query`` and ``#fragment``; empty or null gives the base."""
+    return once(F.struct(col(base).alias("base"), F.coalesce(col(reference), F.lit("")).alias("ref")), lambda x: _joined(x["base"], x["ref"]))
+
+
+def _joined(base, ref):
+    scheme = F.regexp_extract(base, r"^([^:/?#]+):", 1)
+    site = F.regexp_extract(base, r"^([^:/?#]+://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    plain = F.regexp_extract(base, r"(?s)^([^?#]*)", 1)
+    ref_path = F.regexp_extract(ref, r"(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(ref, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    below = F.concat(F.when(folder == "", "/").otherwise(folder), ref_path)
+    return (F.when(ref == "", base)
+            .when(ref.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), ref)
+            .when(ref.startswith("//"), F.concat(scheme, F.lit(":"), ref))
+            .when(ref.startswith("?"), F.concat(plain, ref))
+            .when(ref.startswith("#"), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), ref))
+            .otherwise(F.concat(site, without_dots(F.when(ref.startswith("/"), ref_path).otherwise(below)), rest)))

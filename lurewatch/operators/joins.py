@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from lurewatch import fixed
 from lurewatch.dims import Dims
+from lurewatch.functions import hosts as H
 from lurewatch.functions import urls as U
 from lurewatch.functions.calc import age_days, safe_div
 from lurewatch.functions.common import col, sealed, strings
+from lurewatch.session import materialize
 
 # A side is broadcast only if its row count is known to stay below this.
 BROADCAST_ROWS = 200_000
@@ -135,24 +137,23 @@ def resolve_redirects(df: DataFrame, edges: DataFrame, c="url", max_hops=5) -> D
     """Follow recorded redirects to the final URL.
 
     ``edges``: url, status, location, public (host has only public addresses).
-    Stops at a non-redirect, a missing location, a self or repeated link, a
-    blocked host, or after ``max_hops``.  Distinct URLs are followed, one join
-    per hop; the result is joined back, so repeated URLs cost nothing extra.
+    Locations may be relative.  Stops at a non-redirect, a missing location, a self or repeated link, a
+    blocked host (private by the table or an address literal that is not public), or after ``max_hops``, which is
+    what a browser-like client follows (``truncated`` tells); :func:`redirect_ends` follows chains of any length.
+    Distinct URLs are followed, one join per hop; the result is joined back, so repeated URLs cost nothing extra.
     """
-    step = edges.select(F.col("url").alias("_from"), "status", "location", "public")
+    # an edge's target and safety depend on the edge alone: worked out once, not per hop
+    step = materialize(edges.select(F.col("url").alias("_from"), "status", _target("url", "location").alias("_to"),
+                                    _safe("url", "public").alias("_safe")), "redirects")
     first = U.default_scheme("_key", ci=False, strip=False)
     cur = df.select(F.col(c).alias("_key")).distinct().select(
         "_key", first.alias("_first"), first.alias("_cur"), F.array().cast("array<string>").alias("_chain"),
         F.lit(False).alias("_blocked"), F.lit(True).alias("_open"))
     for _ in range(max_hops):
-        # finished chains look up NULL and match nothing
-        hop = cur.withColumn("_at", F.when(F.col("_open"), F.col("_cur"))) \
+        # finished chains look up keys that are spread and match nothing
+        none = F.concat(F.lit(" "), F.pmod(F.xxhash64("_key"), F.lit(4096)).cast("string"))
+        hop = cur.withColumn("_at", F.when(F.col("_open"), F.col("_cur")).otherwise(none)) \
                  .join(step, F.col("_at") == F.col("_from"), "left")
-        host = U.host_of("_cur")
-        safe = F.coalesce("public", F.lit(True)) & (~U.is_ipv4_host(host) | U.is_public_ipv4(host))
-        target = F.when(F.col("location").rlike("^/(?!/)"), F.concat(
-            F.regexp_extract("_cur", r"^([^:/?#]+://[^/?#]*)", 1), "location")).otherwise(F.col("location"))
-        hop = hop.select("*", safe.alias("_safe"), target.alias("_to"))
         go = (F.col("_open") & F.col("_safe") & F.col("status").between(300, 399)
               & (F.coalesce("_to", F.lit("")) != "") & (F.col("_to") != F.col("_cur"))
               & ~F.array_contains("_chain", F.col("_to")))
@@ -160,13 +161,55 @@ def resolve_redirects(df: DataFrame, edges: DataFrame, c="url", max_hops=5) -> D
         cur = hop.select(
             "_key", "_first", F.when(F.col("_go"), F.col("_to")).otherwise(F.col("_cur")).alias("_cur"),
             F.when(F.col("_go"), F.array_append("_chain", F.col("_to"))).otherwise(F.col("_chain")).alias("_chain"),
-            (F.col("_blocked") | (F.col("_open") & ~F.col("_safe"))).alias("_blocked"), F.col("_go").alias("_open"))
+            (F.col("_blocked") | (F.col("_open") & ~F.coalesce("_safe", F.lit(True)))).alias("_blocked"), F.col("_go").alias("_open"))
     done = cur.select("_key", F.col("_first").alias("original_url"), F.col("_cur").alias("final_url"),
                       (F.size("_chain") > 0).alias("redirected"), F.col("_chain").alias("redirect_chain"),
-                      U.is_shortener(U.host_of("_first")).alias("was_shortener"), F.col("_blocked").alias("blocked"))
+                      U.is_shortener(U.host_of("_first")).alias("was_shortener"),
+                      (F.col("_blocked") | (~F.col("_open") & ~_safe("_cur", F.lit(True)))).alias("blocked"),
+                      F.col("_open").alias("truncated"))
     return df.join(done, F.col(c).eqNullSafe(F.col("_key"))).drop("_key")
 
 
+def _safe(url, public) -> Column:
+    """The host may be asked: not marked private, and no literal address that is not public."""
+    host = U.host_of(url)
+    literal = U.is_ipv4_host(host) | host.contains(":")
+    return F.coalesce(col(public), F.lit(True)) & (~literal | H.is_public_ip(host))
+
+
+def _target(url, location) -> Column:
+    return F.when(F.coalesce(col(location), F.lit("")) != "", U.join_url(url, location))
+
+
+def redirect_ends(edges: DataFrame) -> DataFrame:
+    """(url, final_url, hops, cycle) of every recorded URL, for chains of any length.
+
+    Pointer doubling: each round joins every open pointer with the pointer of its target, so a chain
+    of n hops is closed after about log2(n) rounds; closed pointers are only looked up from then on.  What is
+    still open after more hops than there are URLs runs into a cycle and has no end.
+    ``edges``: url, status, location, public; of several rows of one URL the least by
+    location counts.  A private or not public host is asked for nothing, so it ends its chains.
+    """
+    one = edges.groupBy("url").agg(F.min_by(F.struct("status", "location", "public"), F.struct("location", "status")).alias("e"))
+    to = _target("url", "e.location")
+    goes = F.coalesce(_safe("url", "e.public") & F.col("e.status").between(300, 399) & to.isNotNull() & (to != F.col("url")), F.lit(False))
+    step = materialize(one.select("url", F.when(goes, to).otherwise(F.col("url")).alias("to"), goes.cast("long").alias("n")), "redirects")
+    going = step.filter("n > 0").select(F.col("url").alias("_next"))
+    marked = materialize(step.join(going, F.col("to") == F.col("_next"), "left").select(
+        "url", "to", "n", ((F.col("n") > 0) & F.col("_next").isNotNull()).alias("open")), "redirects")
+    closed, open_, n_urls, reach = [marked.filter("not open")], marked.filter("open"), step.count(), 1
+    while reach <= n_urls and not open_.isEmpty():
+        known = reduce(DataFrame.union, closed, open_).filter("n > 0").select(
+            F.col("url").alias("_next"), F.col("to").alias("_to"), F.col("n").alias("_n"), F.col("open").alias("_open"))
+        moved = materialize(open_.join(known, F.col("to") == F.col("_next")).select(
+            "url", F.col("_to").alias("to"), (F.col("n") + F.col("_n")).alias("n"), F.col("_open").alias("open")), "redirects")
+        closed.append(moved.filter("not open"))
+        open_, reach = moved.filter("open"), 2 * reach
+    end = lambda c: F.when(~F.col("open"), F.col(c))
+    return reduce(DataFrame.union, closed, open_).select(
+        "url", end("to").alias("final_url"), end("n").alias("hops"), F.col("open").alias("cycle"))
+
+
 # -------------------------------------------------------------------- grids
 def grid(spark: SparkSession, **columns) -> DataFrame:
     """Every combination of the given lists, first column slowest.

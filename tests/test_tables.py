@@ -2,6 +2,7 @@
 
 import ipaddress
 import random
+from urllib.parse import urljoin
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from lurewatch.dims import Dims
 from lurewatch.functions import hosts as H
 from lurewatch.functions import urls as U
 from lurewatch.functions.suffixes import suffix_rules
+from lurewatch.operators import joins as J
 from lurewatch.operators import metrics as M
 from lurewatch.operators import ranks as R
 from lurewatch.plans.url_features import url_features_v2
@@ -168,3 +170,31 @@ def test_public_ipv6(spark):
         return not any((ip.is_private, ip.is_link_local, ip.is_reserved, ip.is_multicast))
     got = {r.i: r.p for r in frame(spark, ips, "i").select("i", H.is_public_ip("i").alias("p")).collect()}
     assert got == {i: public(i) for i in ips}
+
+
+def test_url_joining(spark):
+    bases = ["https://a.org/b/c/d?q=1#f", "http://a.org", "https://u:p@a.org:81/x/", "https://[::1]/p"]
+    refs = ["next.html", "/top", "//other.org/z", "?only=1", "#frag", "../up", "../../../far", "./same/", "a/./b/../c?x=/../y", "..", ".", "",
+            "https://c.net/../k", "mailto:x@y.z", "g;x=1/../y", None]
+    df = spark.createDataFrame([(b, r) for b in bases for r in refs], "base string, ref string")
+    for row in df.select("base", "ref", U.join_url("base", "ref").alias("got")).collect():
+        assert row.got == urljoin(row.base, row.ref or ""), (row.base, row.ref)
+
+
+def test_redirects(spark):
+    edges = [("https://a.org/1", 302, "2", True), ("https://a.org/2", 301, "//b.org/3?x", True), ("https://b.org/3?x", 200, None, True),
+             ("https://c.org/", 302, "https://[::1]/in", True), ("https://[::1]/in", 302, "https://b.org/3?x", None),
+             ("https://l.org/1", 302, "/2", True), ("https://l.org/2", 302, "/1", True), ("https://l.org/in", 302, "1", True),
+             ("https://s.org/", 302, "https://s.org/", True), ("https://p.org/", 302, "https://b.org/3?x", False), ("https://p.org/", 302, "https://zz/", False)]
+    chain = [(f"https://long.org/{k}", 302, str(k + 1), True) for k in range(300)]
+    df = spark.createDataFrame(edges + chain, "url string, status int, location string, public boolean")
+    got = {r.url: (r.final_url, r.hops, r.cycle) for r in J.redirect_ends(df).collect()}
+    assert len(got) == 310
+    assert got["https://a.org/1"] == ("https://b.org/3?x", 2, False) and got["https://b.org/3?x"] == ("https://b.org/3?x", 0, False)
+    assert got["https://c.org/"] == ("https://[::1]/in", 1, False) and got["https://p.org/"] == ("https://p.org/", 0, False)
+    assert all(got[f"https://l.org/{x}"] == (None, None, True) for x in ("1", "2", "in")) and got["https://s.org/"][1] == 0
+    assert all(got[f"https://long.org/{k}"] == ("https://long.org/300", 300 - k, False) for k in range(300))
+    out = {r.url: r for r in J.resolve_redirects(df.select("url").distinct(), df.filter("location <> 'https://zz/' or location is null")).collect()}
+    assert out["https://a.org/1"].redirect_chain == ["https://a.org/2", "https://b.org/3?x"]
+    assert out["https://c.org/"].blocked and not out["https://a.org/1"].blocked
+    assert out["https://long.org/0"].truncated and not out["https://long.org/296"].truncated
