@@ -175,6 +175,12 @@ def run_stream(spark, batch, job, label, mode="append"):
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def closed_by(rows, key="user_id", value=-1, ts="created_at", days=30):
+    """The rows and one more, of a key of its own, that moves the watermark past them all."""
+    end = rows.agg((F.max(ts) + F.make_dt_interval(days=F.lit(days))).alias(ts)).withColumn(key, F.lit(value).cast(rows.schema[key].dataType))
+    return rows.unionByName(end, allowMissingColumns=True)
+
+
 LAST = f"(SELECT max(ts) FROM ({LOG}))"
 
 
@@ -192,5 +198,19 @@ def stream_suppress_duplicates(spark, sf):
     """Kept scans of the stateful streaming job."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    out = run_stream(spark, dense_scans(spark, sf), S.suppress_duplicates_stream, "dupes")
+    out = run_stream(spark, closed_by(dense_scans(spark, sf)), S.suppress_duplicates_stream, "dupes")
     return out.select("id")
+
+
+@query("stream_cache_misses", """WITH RECURSIVE r AS (SELECT event_id, md5(CAST(user_id % 50 AS VARCHAR)) AS url, ts FROM events),
+ first_miss AS (SELECT url, min(ts) AS at_ FROM r GROUP BY url),
+ misses AS (SELECT url, at_ FROM first_miss UNION ALL
+  SELECT m.url, (SELECT min(r.ts) FROM r WHERE r.url = m.url AND r.ts >= m.at_ + INTERVAL 24 HOUR) FROM misses m WHERE m.at_ IS NOT NULL)
+ SELECT min(r.event_id) AS id, m.url, epoch_us(m.at_) AS at_micros FROM misses m JOIN r ON r.url = m.url AND r.ts = m.at_ GROUP BY ALL""")
+def stream_cache_misses(spark, sf):
+    """Requests of the event table that a cache of 24 hours would not answer."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    requests = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.md5((F.col("user_id") % 50).cast("string")).alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+    out = run_stream(spark, closed_by(requests, "url", "", "ts"), S.cache_misses_stream, "misses")
+    return out.select("id", "url", F.unix_micros("ts").alias("at_micros"))

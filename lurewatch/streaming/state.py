@@ -83,42 +83,156 @@ def suppress_duplicates(scans: DataFrame, gap=GAP_SECONDS, depth=DEPTH) -> DataF
     return rows.mapInPandas(fold, scans.schema)
 
 
-# ------------------------------------------------------ duplicate scans: stream
-class KeepNewScans(StatefulProcessor):
-    """Per user: the last saved scans, as (source, head, time) rows."""
+# ------------------------------------------------------ streams in event order
+class InEventOrder(StatefulProcessor):
+    """Rows of a key, buffered by slot of event time, released behind the watermark.
 
-    def __init__(self, gap=GAP_SECONDS, depth=DEPTH):
-        self.gap, self.depth = gap * 1_000_000, depth
+    Input columns: ``at`` (microseconds), ``tie``, ``row`` (JSON) and those of
+    ``carried``.  A slot's rows are sorted by (at, tie) and folded when the
+    watermark has passed the slot's end, whatever batch or micro-batch brought
+    them; memory holds one Arrow batch or one slot of a key, never a whole key.
+    ``memory`` is what ``fold`` knows of earlier rows; entries that can no
+    longer matter are dropped by a timer, so an idle key leaves no state.
+    """
+
+    carried: tuple = ()
+    memory_schema: str = ""
+
+    def __init__(self, slot_seconds=10):
+        self.slot = slot_seconds * 1_000_000
 
     def init(self, handle):
-        self.saved = handle.getListState("saved", "source string, head string, at long")
-
-    def handleInputRows(self, key, rows, timer_values):
-        saved = deque((tuple(r) for r in self.saved.get()), maxlen=self.depth) if self.saved.exists() else \
-            deque(maxlen=self.depth)
-        # Arrow batches of a key come in no order: a user's scans of one micro-batch are sorted as one
-        pdf = pd.concat(rows, ignore_index=True).sort_values(["at_micros", "id"], ignore_index=True)
-        mask = []
-        for source, head, at in zip(pdf["source"], pdf["head"], pdf["at_micros"]):
-            new = _keep(saved, source, head, at, self.gap)
-            if new:
-                saved.append((source, head, int(at)))
-            mask.append(new)
-        self.saved.put(list(saved))
-        yield pdf.loc[mask].drop(columns=["head", "at_micros"])
+        self.handle = handle
+        names = ("at long, tie long, row string", *(f"{c} string" for c in self.carried))
+        self.buffer = handle.getMapState("buffer", "slot long", f"rows array<struct<{_struct(', '.join(names))}>>")
+        self.memory = handle.getListState("memory", self.memory_schema)
+
+    def handleInputRows(self, key, rows, timerValues):
+        names = ["at", "tie", "row", *self.carried]
+        for pdf in rows:
+            pdf = pdf[names].astype(object).where(pdf[names].notna(), None)
+            for slot, part in pdf.groupby(pdf["at"].astype("int64") // self.slot * self.slot):
+                slot = int(slot)
+                held = self.buffer.getValue((slot,))[0] if self.buffer.containsKey((slot,)) else []
+                new = [(int(at), int(tie), *rest) for at, tie, *rest in part.itertuples(index=False, name=None)]
+                self.buffer.updateValue((slot,), ([*(tuple(r) for r in held), *new],))
+                self.handle.registerTimer((slot + self.slot) // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        slot = end - self.slot
+        memory = [tuple(r) for r in self.memory.get()] if self.memory.exists() else []
+        kept = []
+        if self.buffer.containsKey((slot,)):
+            rows = sorted((tuple(r) for r in self.buffer.getValue((slot,))[0]), key=lambda r: r[:2])
+            self.buffer.removeKey((slot,))
+            kept, memory = self.fold(memory, rows)
+        memory = [m for m in memory if self.expires(m) > end]
+        if memory:
+            self.memory.put(memory)
+            # on a slot's end: all rows before it are folded when the timer fires
+            self.handle.registerTimer(-(-self.expires(memory[-1]) // self.slot) * self.slot // 1000)
+        else:
+            self.memory.clear()
+        yield pd.DataFrame({"row": kept}, dtype=object)
+
+    def fold(self, memory, rows):
+        """The JSON of the rows that are given out, and the memory after them."""
+        raise NotImplementedError
+
+    def expires(self, entry):
+        """Time from which a memory entry no longer matters."""
+        raise NotImplementedError
 
     def close(self):
         pass
 
 
-def suppress_duplicates_stream(scans: DataFrame, gap=GAP_SECONDS, depth=DEPTH) -> DataFrame:
-    """Streaming form (needs the RocksDB state store)."""
-    rows = scans.withColumns({"head": content_head(), "at_micros": micros("created_at")})
-    return rows.groupBy("user_id").transformWithStateInPandas(
-        KeepNewScans(gap, depth), outputStructType=scans.schema, outputMode="Append", timeMode="None")
+def _struct(ddl):
+    return ", ".join(f"{name}: {kind}" for name, kind in (part.split() for part in ddl.split(", ")))
+
+
+JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def in_event_order(rows: DataFrame, processor: InEventOrder, by, ts, tie, delay, **carried) -> DataFrame:
+    """Run a processor per key on a stream; the result has the columns of ``rows``.
+
+    Rows later than ``delay`` behind the newest time are dropped (watermark),
+    rows younger than that are given out once the watermark passes them.  Rows
+    without a time or key take no part.  Needs the RocksDB state store.
+    """
+    packed = rows.withWatermark(ts, delay).filter(F.col(ts).isNotNull()).select(
+        F.col(by).alias("_key"), F.col(ts), micros(ts).alias("at"), F.coalesce(F.col(tie), F.lit(0)).cast("long").alias("tie"),
+        F.to_json(F.struct(*rows.columns), JSON_TIME).alias("row"), *(c.cast("string").alias(n) for n, c in carried.items()))
+    kept = packed.filter(F.col("_key").isNotNull()).groupBy("_key").transformWithStateInPandas(
+        processor, outputStructType="row string", outputMode="Append", timeMode="EventTime")
+    return kept.select(F.from_json("row", rows.schema, JSON_TIME).alias("r")).select("r.*")
+
+
+# ------------------------------------------------------ duplicate scans: stream
+class KeepNewScans(InEventOrder):
+    """Memory: the user's last saved scans."""
+
+    carried = ("source", "head")
+    memory_schema = "source string, head string, at long"
+
+    def __init__(self, gap=GAP_SECONDS, depth=DEPTH, slot_seconds=10):
+        super().__init__(slot_seconds)
+        self.gap, self.depth = gap * 1_000_000, depth
+
+    def fold(self, memory, rows):
+        saved, kept = deque(memory, maxlen=self.depth), []
+        for at, _, row, source, head in rows:
+            if _keep(saved, source, head, at, self.gap):
+                saved.append((source, head, at))
+                kept.append(row)
+        return kept, list(saved)
+
+    def expires(self, entry):
+        return entry[2] + self.gap
+
+
+def suppress_duplicates_stream(scans: DataFrame, gap=GAP_SECONDS, depth=DEPTH, delay="10 minutes") -> DataFrame:
+    """Streaming form of ``suppress_duplicates``: the same scans, in time order,
+    also when a user's scans arrive mixed over several micro-batches."""
+    return in_event_order(scans, KeepNewScans(gap, depth), "user_id", "created_at", "id", delay,
+                          source=F.col("source"), head=content_head())
 
 
 # ------------------------------------------------------------ caches and tokens
+class MissedKeys(InEventOrder):
+    """Memory: the time a key was last cached."""
+
+    memory_schema = "at long"
+
+    def __init__(self, ttl_hours=24, slot_seconds=60):
+        super().__init__(slot_seconds)
+        self.ttl = ttl_hours * 3_600_000_000
+
+    def fold(self, memory, rows):
+        kept = []
+        for at, _, row in rows:
+            if not memory or at >= self.expires(memory[0]):
+                memory = [(at,)]
+                kept.append(row)
+        return kept, memory
+
+    def expires(self, entry):
+        return entry[0] + self.ttl
+
+
+def cache_misses_stream(requests: DataFrame, ttl_hours=24, c="url", ts="ts", tie="id", delay="10 minutes") -> DataFrame:
+    """Requests on a stream that find no cached row younger than the TTL.
+
+    A miss caches its key at the time of the request; the entry leaves the
+    state when the watermark passes its end.
+    """
+    keyed = requests.withColumn("_cache_key", cache_key(c))
+    return in_event_order(keyed, MissedKeys(ttl_hours), "_cache_key", ts, tie, delay).drop("_cache_key")
+
+
 def stale_keys(requests: DataFrame, store: DataFrame, now, ttl_hours=24, c="url") -> DataFrame:
     """Requested URLs without a cached feature row younger than the TTL.
 

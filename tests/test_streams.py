@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks import bind
 from checks.monitor import run_stream
 from lurewatch.streaming import monitor as M
+from lurewatch.session import scratch_path
 from lurewatch.streaming import state as S
 
 T0 = datetime(2024, 1, 1, 0, 59, 0)
@@ -60,9 +61,14 @@ def test_a_hot_user_is_cut_into_sessions(spark):
     assert len({r.session for r in rows}) > 10
 
 
+def closing(rows, days=300):
+    """The rows and one of another user that lies far behind them all."""
+    return [*rows, (-1, -1, "end", "web", T0 + timedelta(days=days))]
+
+
 def test_suppression_stream(spark):
     rows = random_scans(400, 3)
-    out = run_stream(spark, spark.createDataFrame(rows, SCHEMA).coalesce(1), S.suppress_duplicates_stream, "t-dupes")
+    out = run_stream(spark, spark.createDataFrame(closing(rows), SCHEMA).coalesce(1), S.suppress_duplicates_stream, "t-dupes")
     assert sorted(r.id for r in out.collect()) == keep_in_order(rows)
 
 
@@ -72,13 +78,63 @@ def test_suppression_stream_of_many_arrow_batches(spark):
     before = spark.conf.get(size)
     spark.conf.set(size, "40")
     try:
-        shuffled = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), SCHEMA).coalesce(1)
+        shuffled = spark.createDataFrame(random.Random(1).sample(closing(rows), len(rows) + 1), SCHEMA).coalesce(1)
         out = run_stream(spark, shuffled, S.suppress_duplicates_stream, "t-dupes-40")
         assert sorted(r.id for r in out.collect()) == keep_in_order(rows)
     finally:
         spark.conf.set(size, before)
 
 
+def run_parts(spark, parts, schema, job, label):
+    """One micro-batch a part, in the order given; the result and the state rows left."""
+    src, out, state = (scratch_path(spark, f"{label}-{x}") for x in ("in", "out", "state"))
+    left = None
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        stream = job(spark.readStream.schema(spark.createDataFrame([], schema).schema).parquet(src))
+        run = (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+               .trigger(availableNow=True).start())
+        run.awaitTermination()
+        left = sum(op["numRowsTotal"] for op in run.lastProgress["stateOperators"])
+    return spark.read.schema(stream.schema).parquet(out), left
+
+
+def test_late_scans_over_micro_batches_and_no_state_left(spark):
+    """Scans out of order over two micro-batches give the batch result, once each."""
+    rows = random_scans(300, 5)
+    late = {r[0] for r in random.Random(2).sample(rows, 120)}
+    first = [r for r in rows if r[0] not in late]
+    second = [r for r in rows if r[0] in late]
+    job = lambda s: S.suppress_duplicates_stream(s, delay="100 days")
+    out, _ = run_parts(spark, [first, second, closing([])], SCHEMA, job, "t-late-dupes")
+    assert sorted(r.id for r in out.collect()) == keep_in_order(rows)
+    ends = [closing([], 600)]
+    _, after = run_parts(spark, [first, closing([]), *ends], SCHEMA, job, "t-left")
+    assert after == run_parts(spark, [closing([]), *ends], SCHEMA, job, "t-none")[1]
+
+
+def test_all_columns_return_as_they_went_in(spark):
+    at = T0 + timedelta(microseconds=123457)
+    rows = [(1, 1, 'a "quoted"\n\u00e9', None, at)]
+    out = run_stream(spark, spark.createDataFrame(closing(rows), SCHEMA), S.suppress_duplicates_stream, "t-columns")
+    assert [tuple(r) for r in out.collect()] == rows
+
+
+def test_cache_misses_stream(spark):
+    rng = random.Random(7)
+    rows = [(i, rng.choice("abc"), T0 + timedelta(minutes=rng.randint(0, 9000))) for i in range(300)]
+    cached, missed = {}, []
+    for i, url, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        if url not in cached or ts - cached[url] >= timedelta(hours=24):
+            cached[url] = ts
+            missed.append(i)
+    job = lambda s: S.cache_misses_stream(s, delay="30 days")
+    end = [(-1, "end", T0 + timedelta(days=n)) for n in (100, 200)]
+    out, left = run_parts(spark, [rows[::2], rows[1::2], end[:1], end[1:]], "id long, url string, ts timestamp", job, "t-misses")
+    assert sorted(r.id for r in out.collect() if r.id >= 0) == sorted(missed)
+    assert left == run_parts(spark, [end[:1], end[1:]], "id long, url string, ts timestamp", job, "t-no-misses")[1]
+
+
 def closed(batch, stream, key):
     """All closed windows of the stream are in the batch result, and most of it."""
     a, b = {tuple(r) for r in batch.collect()}, {tuple(r) for r in stream.collect()}
