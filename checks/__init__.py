@@ -4,7 +4,7 @@ import importlib
 
 from checks.registry import ORACLES, QUERIES
 
-MODULES = ["urls", "lookalike", "text", "metrics", "scans", "sets", "joins", "vectors", "monitor", "files", "models"]
+MODULES = ["urls", "lookalike", "text", "metrics", "scans", "sets", "joins", "vectors", "monitor", "files", "models", "whole"]
 
 
 def load():

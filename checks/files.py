@@ -124,7 +124,7 @@ def append_scans(spark, sf):
 @query("append_audit", "SELECT doc_id AS id, left(text, 500) AS detail FROM documents")
 def append_audit(spark, sf):
     path = scratch_path(spark, "audit")
-    WR.append_audit(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("detail")), path)
+    WR.append_audit(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("detail")), path, max_chars=500)
     return spark.read.parquet(path)
 
 

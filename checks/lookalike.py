@@ -197,7 +197,7 @@ HARVEST_LEGIT = [d for ds in fixed.SQUAT_BRANDS.values() for d in ds]
   AND NOT list_contains({sql_list(HARVEST_LEGIT)}, registered) ORDER BY p.url, page_id LIMIT 150""")
 def harvest_lookalikes(spark, sf):
     feed = probe_urls(spark, sf)
-    return J.harvest_lookalikes(feed, HARVEST, HARVEST_LEGIT, tie=["page_id"]).select("page_id", "url")
+    return J.harvest_lookalikes(feed, HARVEST, HARVEST_LEGIT, n=150, tie=["page_id"]).select("page_id", "url")
 
 
 @query("unknown_platforms", f"""WITH {parts_sql(PROBE)}, {domain_sql()},
@@ -206,7 +206,7 @@ def harvest_lookalikes(spark, sf):
 def unknown_platforms(spark, sf):
     df = U.with_domain(U.with_url_parts(probe_urls(spark, sf)), prefix="u_")
     hosts = df.select(F.col("u_registered").alias("registered"), F.col("u_subdomain").alias("subdomain"))
-    return S.unknown_platforms(hosts, D.rule_platforms)
+    return S.unknown_platforms(hosts, D.rule_platforms, top=40, top_first=True)
 
 
 # --------------------------------------------------------------- brand list work

@@ -61,7 +61,7 @@ def valid_tokens(spark, sf):
   CASE WHEN epoch_us(created_at) % 1000000 = 0 THEN strftime(created_at, '%Y-%m-%dT%H:%M:%S') ELSE strftime(created_at, '%Y-%m-%dT%H:%M:%S.%f') END AS created_at
  FROM p WHERE scan_type = 'URL' AND result = 'Phishing' AND contains(lower(CASE WHEN length(content) > 100 THEN left(content, 100) || '...' ELSE content END), 'error')""")
 def history_page(spark, sf):
-    return S.history(scans(spark, sf), 7, "web", "URL", "Phishing", "ERROR")
+    return S.history(scans(spark, sf), 7, "web", "URL", "Phishing", "ERROR", page_first=True)
 
 
 @query("latest_per_user", f"SELECT user_id, id, rn FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS rn FROM ({SCANS})) WHERE rn <= 10")
@@ -110,7 +110,7 @@ def audit_summary(spark, sf):
 @query("audit_rows", "SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN NULL ELSE left(text, 500) END AS detail FROM documents")
 def audit_rows(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("text")).alias("detail"))
-    return S.audit_rows(df)
+    return S.audit_rows(df, 500)
 
 
 @query("most_common", "SELECT p_brand AS value, count(*) AS n FROM (SELECT CAST(l_partkey % 997 AS VARCHAR) AS p_brand FROM lineitem) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 40")

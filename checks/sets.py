@@ -41,7 +41,7 @@ def cap_random(spark, sf):
 @query("cap_per_group", """SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents)
  WHERE r <= CASE source WHEN 'src0' THEN 40 WHEN 'src1' THEN 25 WHEN 'src2' THEN 6 ELSE 0 END""")
 def cap_per_group(spark, sf):
-    return WN.cap_per_group(table(spark, sf, "documents").select("source", "doc_id"), "source", {"src0": 40, "src1": 25, "src2": 6}, "doc_id")
+    return WN.cap_per_group(table(spark, sf, "documents").select("source", "doc_id"), "source", {"src0": 40, "src1": 25, "src2": 6}, "doc_id", keep_others=False)
 
 
 @query("oversample", "SELECT doc_id, unnest(range(1, CASE WHEN quality = 0 THEN 16 ELSE 2 END)) AS copy FROM labels")

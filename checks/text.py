@@ -58,7 +58,7 @@ def mail_sql(c):
 
 @query("normalize_mail", f"SELECT doc_id, left({mail_sql('text')}, 5000) AS served, length({mail_sql('text')}) AS full_length FROM ({DOCS})")
 def normalize_mail(spark, sf):
-    return docs(spark, sf).select("doc_id", T.normalize_mail("text").alias("served"),
+    return docs(spark, sf).select("doc_id", T.normalize_mail("text", max_chars=5000).alias("served"),
                                   F.length(T.normalize_mail("text", max_chars=None)).alias("full_length"))
 
 
@@ -129,12 +129,12 @@ sig_sql = lambda c: f"left(regexp_replace(lower({c}), '[^a-z0-9]', '', 'g'), 120
 
 @query("boilerplate_signature", f"SELECT doc_id, {boiler_sql('text')} AS boilerplate, {sig_sql('text')} AS signature FROM ({DOCS})")
 def boilerplate_signature(spark, sf):
-    return docs(spark, sf).select("doc_id", T.is_boilerplate("text").alias("boilerplate"), T.signature("text").alias("signature"))
+    return docs(spark, sf).select("doc_id", T.is_boilerplate("text").alias("boilerplate"), T.signature("text", 120).alias("signature"))
 
 
 @query("dedupe_first", f"SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY {sig_sql('text')} ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def dedupe_first(spark, sf):
-    df = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.signature("text").alias("sig"))
+    df = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", T.signature("text", 120).alias("sig"))
     return WN.dedupe_first(df, "sig", "doc_id").select("doc_id")
 
 
@@ -164,7 +164,7 @@ def cat_sql(dom, subj, body):
 @query("categorize_mail", f"SELECT msg_idx, {DOMAIN} AS sender_domain, {cat_sql(DOMAIN, 'subject', 'body')} AS category FROM ({MAILS})")
 def categorize_mail(spark, sf):
     df = mails(spark, sf).withColumn("sender_domain", T.sender_domain("from_hdr"))
-    return df.select("msg_idx", "sender_domain", T.categorize_mail("sender_domain", "subject", "body").alias("category"))
+    return df.select("msg_idx", "sender_domain", T.categorize_mail("sender_domain", "subject", "body", 400).alias("category"))
 
 
 @query("review_set", f"""WITH c AS (SELECT msg_idx, {DOMAIN} AS dom, {clean_sql('subject')} AS subj, {clean_sql('body')} AS body FROM ({MAILS})),
@@ -174,7 +174,7 @@ def categorize_mail(spark, sf):
  SELECT msg_idx, left(body, 1500) AS text, dom AS sender_domain, left(subj, 200) AS subject, cat AS auto_category, '' AS verified_label
  FROM n WHERE pos <= CASE cat WHEN 'security_transactional' THEN 400 WHEN 'ordinary_legit' THEN 250 ELSE 60 END""")
 def review_set(spark, sf):
-    return M.review_set(mails(spark, sf), normalize=False)
+    return M.review_set(mails(spark, sf), normalize=False, **M.SHEET)
 
 
 @query("recode_review_labels", "SELECT text, CASE doc_id % 5 WHEN 0 THEN 0 ELSE 1 END AS label FROM documents WHERE doc_id % 5 IN (0, 1)")
@@ -198,7 +198,7 @@ def training_set(spark, sf):
     d = docs(spark, sf).select("text", (F.col("doc_id") % 2).cast("int").alias("label"))
     b = table(spark, sf, "benchmark").select("text", F.lit(1).alias("label"))
     c = table(spark, sf, "conversations").select("text", F.lit(0).alias("label"))
-    return M.training_set([d, b], c).select("key", "label", "source_ord")
+    return M.training_set([d, b], c, max_chars=5000).select("key", "label", "source_ord")
 
 
 @query("chunk_paragraphs", r"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)),

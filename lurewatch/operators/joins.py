@@ -31,12 +31,14 @@ def left_anti(df: DataFrame, other: DataFrame, key) -> DataFrame:
 
 
 def recent_scans(scans: DataFrame, users: DataFrame, n=10) -> DataFrame:
-    """Newest n scans with the user name.
+    """Newest n scans with the user name; scans of unknown users do not count.
 
-    The newest rows that have a user are found first, so that at most n rows
-    (not the scan table) carry the wide columns into the sort.
+    Each user's newest n are found first (a literal row bound, applied before
+    the shuffle), so at most n scans per user reach the join, not the table.
     """
-    named = scans.join(users.select(F.col("id").alias("user_id"), "username"), "user_id")
+    w = W.partitionBy("user_id").orderBy(F.desc("created_at"), F.desc("id"))
+    few = scans.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    named = few.join(users.select(F.col("id").alias("user_id"), "username"), "user_id")
     return (named.select("id", "username", "scan_type", "result", "confidence", "created_at")
             .orderBy(F.desc("created_at"), F.desc("id")).limit(n))
 
@@ -97,10 +99,13 @@ def calibrate(df: DataFrame, knots: DataFrame, p="p", out="calibrated", cells=51
 def enrich_domain(df: DataFrame, domain_info: DataFrame, now, key="domain") -> DataFrame:
     """Add the looked-up network features; -1 where nothing is known.
 
-    ``domain_info``: domain, created, expires, ttl, time_response, asn.
+    ``domain_info``: domain, created, expires, ttl, time_response, asn.  Of several
+    rows of a domain the latest registration counts, so no row of ``df`` is doubled.
     """
     now = F.lit(now).cast("timestamp") if isinstance(now, str) else now
-    info = domain_info.select(
+    names = ["created", "expires", "ttl", "time_response", "asn"]
+    one = domain_info.groupBy("domain").agg(F.max(F.struct(*names)).alias("i")).select("domain", "i.*")
+    info = one.select(
         F.col("domain").alias(key),
         F.col("time_response").cast("double"),
         F.col("asn").cast("long").alias("asn_ip"),
@@ -318,14 +323,15 @@ def find_squats(observed: DataFrame, brands: DataFrame, c="url") -> DataFrame:
     return observed.withColumn("host", host).join(squats, "host")
 
 
-def harvest_lookalikes(feed: DataFrame, brand_names, legit, c="url", n=150, tie=()) -> DataFrame:
+def harvest_lookalikes(feed: DataFrame, brand_names, legit, c="url", n=None, tie=()) -> DataFrame:
     """Feed URLs that name a brand in sub-domain or registered domain without
-    belonging to it; the first n by URL (a report)."""
+    belonging to it; with ``n`` the first by URL (a report)."""
     df = U.with_domain(U.with_url_parts(feed, c, "_h_"), "_h_host", "_h_")
     host = F.concat_ws(".", "_h_subdomain", "_h_registered")
     named = reduce(lambda a, b: a | b, [host.contains(b) for b in brand_names])
     hits = df.filter(named & ~F.col("_h_registered").isin(list(legit)))
-    return hits.select(*feed.columns).orderBy(c, *tie).limit(n)
+    hits = hits.select(*feed.columns)
+    return hits.orderBy(c, *tie).limit(n) if n else hits
 
 
 # --------------------------------------------------------------------- quiz

@@ -56,29 +56,39 @@ def latest(df: DataFrame, n=50) -> DataFrame:
     return df.orderBy(F.desc("created_at"), F.desc("id")).limit(n)
 
 
-def history(df: DataFrame, user_id, source=None, scan_type=None, result=None, search=None, limit=500) -> DataFrame:
-    """A user's history page: newest first, then the page's own filters."""
+def history(df: DataFrame, user_id, source=None, scan_type=None, result=None, search=None, limit=500, page_first=False) -> DataFrame:
+    """A user's history, newest first: the newest ``limit`` scans (None: all) that pass the filters.
+
+    The search reads whole contents.  With ``page_first`` the page is cut before type, result
+    and search, and the search sees what the page shows (100 characters).
+    """
     df = df.filter(F.col("user_id") == user_id)
     if source in ("web", "extension"):
         df = df.filter(F.col("source") == source)
-    page = latest(df, limit).select(
+    if not page_first:
+        df = _wanted(df, scan_type, result, search)
+    page = latest(df, limit) if limit else df
+    page = page.select(
         "id", "scan_type", ellipsize("content").alias("content"), "result", "confidence", "is_phishing",
         F.coalesce("source", F.lit("web")).alias("source"), iso("created_at").alias("created_at"))
+    return _wanted(page, scan_type, result, search) if page_first else page
+
+
+def _wanted(df, scan_type, result, search):
     if scan_type and scan_type != "all":
-        page = page.filter(F.col("scan_type") == scan_type)
+        df = df.filter(F.col("scan_type") == scan_type)
     if result and result != "all":
-        page = page.filter(F.col("result") == result)
-    if search:
-        page = page.filter(F.lower("content").contains(search.lower()))
-    return page
+        df = df.filter(F.col("result") == result)
+    return df.filter(F.lower("content").contains(search.lower())) if search else df
 
 
-def user_stats(df: DataFrame, window=1000) -> DataFrame:
-    """Per user over the newest ``window`` scans: totals and clean rate.
+def user_stats(df: DataFrame, window=None) -> DataFrame:
+    """Per user over the newest ``window`` scans (None: all): totals and clean rate.
 
     The rate is cut, not rounded, to whole percent; 100 without scans.
     """
-    out = latest_per_user(df, window).groupBy("user_id").agg(
+    rows = latest_per_user(df, window) if window else df
+    out = rows.groupBy("user_id").agg(
         F.count("*").alias("total_scans"), F.count_if("is_phishing").alias("phishing_detected"))
     legit = F.col("total_scans") - F.col("phishing_detected")
     return out.select("user_id", "total_scans", "phishing_detected", legit.alias("legitimate_detected"),
@@ -114,9 +124,9 @@ def audit_summary(audit: DataFrame) -> DataFrame:
         F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
 
 
-def audit_rows(df: DataFrame) -> DataFrame:
-    """Audit rows as stored: empty details become NULL, long ones are cut."""
-    detail = F.when(F.length("detail") > 0, F.substring("detail", 1, 500))
+def audit_rows(df: DataFrame, max_chars=None) -> DataFrame:
+    """Audit rows as stored: empty details become NULL; ``max_chars`` cuts long ones."""
+    detail = F.when(F.length("detail") > 0, F.substring("detail", 1, max_chars) if max_chars else F.col("detail"))
     return df.withColumn("detail", detail)
 
 
@@ -126,19 +136,24 @@ def most_common(df: DataFrame, key, n=40) -> DataFrame:
             .orderBy(F.desc("n"), "value").limit(n))
 
 
-def unknown_platforms(hosts: DataFrame, known, top=40, min_n=3, distinct_subs=False) -> DataFrame:
+def unknown_platforms(hosts: DataFrame, known, top=None, min_n=3, distinct_subs=False, top_first=False) -> DataFrame:
     """Registered domains seen often with a sub-domain that are no known platform.
 
-    ``hosts``: registered, subdomain.  The top list is taken before the filter,
-    as the audit does.  ``distinct_subs`` counts different sub-domains instead
-    of occurrences.
+    ``hosts``: registered, subdomain.  ``top`` keeps the most frequent ones;
+    with ``top_first`` known platforms take places in that list, as in the
+    audit.  ``distinct_subs`` counts different sub-domains instead of
+    occurrences.
     """
     seen = hosts.filter((F.col("registered") != "") & (F.col("subdomain") != ""))
     if distinct_subs:
         seen = seen.select("registered", "subdomain").distinct()
-    found = most_common(seen, "registered", top)
-    return found.filter((F.col("n") >= min_n) & ~F.col("value").isin(list(known))) \
-                .withColumnRenamed("value", "domain")
+    known = F.col("value").isin(list(known))
+    if top_first:
+        found = most_common(seen, "registered", top).filter(~known)
+    else:
+        found = seen.groupBy(F.col("registered").alias("value")).agg(F.count("*").alias("n")).filter(~known)
+        found = found.orderBy(F.desc("n"), "value").limit(top) if top else found
+    return found.filter(F.col("n") >= min_n).withColumnRenamed("value", "domain")
 
 
 def share(df: DataFrame, **conditions) -> DataFrame:

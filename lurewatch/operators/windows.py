@@ -12,20 +12,23 @@ from lurewatch.functions.common import col
 from lurewatch.operators.sampling import first_per_key
 
 
-def cap_per_group(df: DataFrame, group, caps: dict, order) -> DataFrame:
+def cap_per_group(df: DataFrame, group, caps: dict, order, keep_others=True) -> DataFrame:
     """The first ``caps[group]`` rows of each group in arrival order.
 
-    Groups without a cap are dropped.  The bound on the row number is a
-    literal (the largest cap), so each input partition passes on at most that
-    many rows per group, however large a group is.
+    Groups without a cap stay whole, unless ``keep_others`` is off.  The bound
+    on the row number is a literal (the largest cap), so each input partition
+    passes on at most that many rows per capped group, however large it is.
     """
-    df = df.filter(col(group).isin(list(caps)))
+    capped = F.coalesce(col(group).isin(list(caps)), F.lit(False))
+    others = df.filter(~capped)
+    df = df.filter(capped)
     w = W.partitionBy(group).orderBy(order)
     cap = F.lit(None).cast("int")
     for name, n in caps.items():
         cap = F.when(col(group) == name, F.lit(n)).otherwise(cap)
     top = df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(caps.values()))
-    return top.filter(F.col("_r") <= cap).drop("_r")
+    top = top.filter(F.col("_r") <= cap).drop("_r")
+    return top.unionByName(others) if keep_others else top
 
 
 def dedupe_first(df: DataFrame, key, order) -> DataFrame:

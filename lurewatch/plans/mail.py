@@ -28,14 +28,27 @@ def review_candidates(mails: DataFrame, name=None, email=None, min_len=150, norm
     return rows.filter((F.length("body") >= min_len) & ~T.is_boilerplate("body"))
 
 
-def review_set(mails: DataFrame, name=None, email=None, min_len=150, normalize=True, caps=None) -> DataFrame:
-    """Rows for hand labelling: first of equal mails, capped per category."""
+# limits of a sheet that people fill in by hand
+SHEET = {"sig_chars": 120, "head": 400, "caps": fixed.CATEGORY_CAPS, "text_chars": 1500, "subject_chars": 200}
+
+
+def review_set(mails: DataFrame, name=None, email=None, min_len=150, normalize=True, caps=None, sig_chars=None,
+               head=None, text_chars=None, subject_chars=None) -> DataFrame:
+    """Rows for hand labelling: first of equal mails, per category at most ``caps`` rows.
+
+    Equal are mails with the same letters and digits, of any script; with ``sig_chars`` those
+    with the same leading latin ones.  A mail that has none is equal to no other.  All limits
+    are off unless given; ``**SHEET`` are those of a labelling sheet.
+    """
+    cut = lambda c, n: F.substring(c, 1, n) if n else F.col(c)
     rows = review_candidates(mails, name, email, min_len, normalize)
-    rows = dedupe_first(rows.withColumn("sig", T.signature("body")), "sig", "msg_idx").drop("sig")
-    rows = rows.withColumn("auto_category", T.categorize_mail("sender_domain", "subj", "body"))
-    rows = cap_per_group(rows, "auto_category", caps or fixed.CATEGORY_CAPS, "msg_idx")
-    return rows.select("msg_idx", F.substring("body", 1, 1500).alias("text"), "sender_domain",
-                       F.substring("subj", 1, 200).alias("subject"), "auto_category",
+    sig = F.nullif(T.signature("body", sig_chars), F.lit("")) if sig_chars else T.content_key("body")
+    rows = dedupe_first(rows.withColumn("sig", F.coalesce(sig, F.concat(F.lit("#"), F.col("msg_idx").cast("string")))), "sig", "msg_idx").drop("sig")
+    rows = rows.withColumn("auto_category", T.categorize_mail("sender_domain", "subj", "body", head))
+    if caps:
+        rows = cap_per_group(rows, "auto_category", caps, "msg_idx")
+    return rows.select("msg_idx", cut("body", text_chars).alias("text"), "sender_domain",
+                       cut("subj", subject_chars).alias("subject"), "auto_category",
                        F.lit("").alias("verified_label"))
 
 
@@ -49,16 +62,15 @@ def drop_short(df: DataFrame, c="text", n=20):
     return df.filter(F.col(c).isNotNull() & (F.length(c) > n))
 
 
-def training_set(frames, reviewed: DataFrame, times=15, oversample_first=True, max_chars=5000) -> DataFrame:
+def training_set(frames, reviewed: DataFrame, times=15, oversample_first=True, max_chars=None) -> DataFrame:
     """Union of corpora and reviewed mails, normalised, distinct by text.
 
     Repeating the reviewed rows before the distinct step has no effect (every
-    copy but one is dropped); ``oversample_first=False`` repeats them after it.
+    copy but one is dropped), so no copies are made then;
+    ``oversample_first=False`` repeats them after it.
     """
     tagged = [f.select("text", "label").withColumn("source_ord", F.lit(i)) for i, f in enumerate(frames)]
     extra = reviewed.select("text", "label").withColumn("source_ord", F.lit(len(frames)))
-    if oversample_first:
-        extra = oversample(extra, times).drop("copy")
     rows = drop_short(union_all([*tagged, extra]))
     rows = drop_short(sealed(rows, ["label", "source_ord"], {"text": T.normalize_mail("text", max_chars=max_chars)}))
     rows = first_per_key(rows.withColumn("key", F.sha2("text", 256)), "key", ["source_ord", "label"])
@@ -75,16 +87,15 @@ def generate_corpus(templates: DataFrame, subjects: DataFrame, brands: DataFrame
     """Mails of each category: template x subject x plausible brand, filled.
 
     ``templates`` and ``subjects``: category, text; ``brands``: category,
-    brand (work mail has none).  The lists per category are combined as arrays
-    and exploded; ``n`` keeps that many mails per category.
+    brand (work mail has none).  Rows are joined by category, no list of a
+    category is gathered in one row; ``n`` keeps that many mails per category.
     """
-    lists = (templates.groupBy("category").agg(F.sort_array(F.collect_set("text")).alias("bodies"))
-             .join(subjects.groupBy("category").agg(F.sort_array(F.collect_set("text")).alias("subjects")), "category")
-             .join(brands.groupBy("category").agg(F.sort_array(F.collect_set("brand")).alias("brands")), "category", "left"))
-    lists = lists.withColumn("brands", F.coalesce("brands", F.array(F.lit(""))))
-    rows = (lists.select("category", "brands", "subjects", F.explode("bodies").alias("body"))
-            .select("category", "body", "brands", F.explode("subjects").alias("subject"))
-            .select("category", "body", "subject", F.explode("brands").alias("brand")))
+    bodies = templates.filter("text IS NOT NULL").select("category", F.col("text").alias("body")).distinct()
+    lines = subjects.filter("text IS NOT NULL").select("category", F.col("text").alias("subject")).distinct()
+    names = brands.filter("brand IS NOT NULL").select("category", "brand").distinct()
+    # the lines of a category, with its brands, are few beside the templates
+    heads = lines.join(names, "category", "left").withColumn("brand", F.coalesce("brand", F.lit("")))
+    rows = bodies.join(heads, "category")
     key = F.concat_ws("|", "category", "body", "subject", "brand")
     body = T.fill_template(F.replace("body", F.lit("{brand}"), F.col("brand")), fills, key)
     head = F.when(F.col("brand") != "", F.concat_ws(" - ", "brand", "subject")).otherwise(F.col("subject"))

@@ -98,19 +98,19 @@ def fit_url_model(train: DataFrame, key="url", y="label", features=fixed.FEATURE
     return model, knots, choose_threshold(calibrate(held, knots, "raw", "calibrated"), "calibrated", y)
 
 
-def train_text(df: DataFrame, c="text", y="label", dim=1 << 16):
-    """Class-weighted logistic regression on hashed words of the served text."""
+def train_text(df: DataFrame, c="text", y="label", dim=1 << 16, max_chars=None):
+    """Class-weighted logistic regression on hashed words of the served text (whole, unless ``max_chars`` is given)."""
     stages = [HashingTF(inputCol="words", outputCol="tf", numFeatures=dim),
               IDF(inputCol="tf", outputCol="features"),
               LogisticRegression(labelCol=y, featuresCol="features", weightCol="weight", maxIter=20, regParam=0.01)]
-    return Pipeline(stages=stages).fit(with_words(weighted(df, y), c))
+    return Pipeline(stages=stages).fit(with_words(weighted(df, y), c, max_chars))
 
 
-def with_words(df: DataFrame, c="text") -> DataFrame:
-    return df.withColumn("words", T.text_tokens(F.lower(T.normalize_mail(c))))
+def with_words(df: DataFrame, c="text", max_chars=None) -> DataFrame:
+    return df.withColumn("words", T.text_tokens(F.lower(T.normalize_mail(c, max_chars=max_chars))))
 
 
-def score_text(model, df: DataFrame, c="text", threshold=0.5) -> DataFrame:
-    out = model.transform(with_words(df, c)).withColumn("p", vector_to_array("probability")[1])
+def score_text(model, df: DataFrame, c="text", threshold=0.5, max_chars=None) -> DataFrame:
+    out = model.transform(with_words(df, c, max_chars)).withColumn("p", vector_to_array("probability")[1])
     hit, confidence = verdict("p", threshold, inclusive=False)
     return out.select(*df.columns, "p", hit.alias("is_phishing"), confidence.alias("confidence"))

@@ -73,5 +73,5 @@ def append_scans(df: DataFrame, path):
     df.write.mode("append").parquet(path)
 
 
-def append_audit(df: DataFrame, path):
-    audit_rows(df).write.mode("append").parquet(path)
+def append_audit(df: DataFrame, path, max_chars=None):
+    audit_rows(df, max_chars).write.mode("append").parquet(path)
