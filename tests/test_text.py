@@ -18,7 +18,6 @@ from lurewatch.plans import mail as M
 from lurewatch.plans import retrieval as R
 from lurewatch.sources import readers as RD
 from lurewatch.sources import writers as WR
-from lurewatch.plans import mail
 
 
 def frame(spark, values):
@@ -163,9 +162,9 @@ def test_mails_of_other_scripts_are_not_equal(spark):
     rows = [(i, "Jane <j@x.org>", "subject", body * 40) for i, body in enumerate(
         ["\u043f\u0440\u0438\u0432\u0435\u0442 ", "\u4f60\u597d\u4e16\u754c ", "\u043f\u0440\u0438\u0432\u0435\u0442, ", "hello there "])]
     mails = spark.createDataFrame(rows, "msg_idx long, from_hdr string, subject string, body string")
-    kept = mail.review_set(mails, normalize=False)
+    kept = M.review_set(mails, normalize=False)
     assert sorted(r.msg_idx for r in kept.collect()) == [0, 1, 3]
-    assert sorted(r.msg_idx for r in mail.review_set(mails, normalize=False, **mail.SHEET).collect()) == [0, 1, 2, 3]
+    assert sorted(r.msg_idx for r in M.review_set(mails, normalize=False, **M.SHEET).collect()) == [0, 1, 2, 3]
 
 
 def test_texts_differing_late_have_other_keys(spark):
