@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.bind import SCORED, scored, table
 from checks.registry import query
 from lurewatch.functions import calc as C
+from lurewatch.operators import isotonic as I
 from lurewatch.operators import joins as J
 from lurewatch.operators import metrics as M
 from lurewatch.operators import ranks as R
@@ -213,6 +214,32 @@ def calibrate(spark, sf):
     return J.calibrate(df, knots).select("doc_id", r6("calibrated").alias("calibrated"))
 
 
+# the rising fit by its max-min formula over all pairs of distinct scores
+FITTED = f"""WITH s AS (SELECT round(p, 4) AS p, sum(y) AS t, count(*) AS n FROM ({SCORED}) GROUP BY 1),
+ c AS (SELECT p, t, n, row_number() OVER (ORDER BY p) AS i, sum(t) OVER (ORDER BY p) AS ct, sum(n) OVER (ORDER BY p) AS cn FROM s),
+ low AS (SELECT j, i, min(m) OVER (PARTITION BY j ORDER BY i DESC) AS m FROM
+  (SELECT a.i AS j, b.i AS i, CAST(b.ct - a.ct + a.t AS DOUBLE) / (b.cn - a.cn + a.n) AS m FROM c a JOIN c b ON a.i <= b.i)),
+ f AS (SELECT i, round(max(m), 9) AS y FROM low GROUP BY i),
+ blocks AS (SELECT min(p) AS lo, max(p) AS hi, CAST(sum(n) AS BIGINT) AS n, y FROM f JOIN c USING (i) GROUP BY y)"""
+
+
+def _blocks(spark, sf):
+    return I.isotonic_blocks(scored(spark, sf).withColumn("p", F.round("p", 4)))
+
+
+@query("isotonic_blocks", f"{FITTED} SELECT lo, hi, n, round(y, 6) AS fitted FROM blocks")
+def isotonic_blocks(spark, sf):
+    return _blocks(spark, sf).select("lo", "hi", "n", r6("fitted").alias("fitted"))
+
+
+@query("isotonic_knots", f"""{FITTED}, b AS (SELECT *, lag(hi) OVER (ORDER BY lo) AS h, lag(y) OVER (ORDER BY lo) AS z FROM blocks),
+ g AS (SELECT CAST(range AS INT) AS pos, range / CAST(200 AS DOUBLE) AS x FROM range(201))
+ SELECT pos, round(x, 6) AS x, round(CASE WHEN x > (SELECT max(hi) FROM b) THEN (SELECT max(y) FROM b) WHEN x < (SELECT min(lo) FROM b) THEN (SELECT min(y) FROM b)
+  WHEN x >= lo THEN y ELSE z + (x - h) * (y - z) / (lo - h) END, 6) AS y FROM g LEFT JOIN b ON x <= hi AND (h IS NULL OR x > h)""")
+def isotonic_knots(spark, sf):
+    return I.isotonic_knots(_blocks(spark, sf)).select("pos", r6("x").alias("x"), r6("y").alias("y"))
+
+
 @query("parity", f"""WITH a AS (SELECT doc_id, p > 0.5 AS f, p FROM ({SCORED}) WHERE missing <> 0), b AS (SELECT doc_id, pb > 0.5 AS f, pb AS p FROM ({SCORED}) WHERE missing <> 1)
  SELECT count(*) AS compared, sum(CAST(a.f IS NULL OR b.f IS NULL AS BIGINT)) AS missing, sum(CAST(a.f IS NULL OR b.f IS NULL OR a.f <> b.f AS BIGINT)) AS mismatches,
   round(max(abs(a.p - b.p)), 6) AS max_dp, false AS parity FROM a FULL JOIN b USING (doc_id)""")

@@ -6,7 +6,6 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from lurewatch.functions import hosts as H
 from lurewatch.functions import text as T
 from lurewatch.functions import urls as U
 from lurewatch.functions.calc import fresh_domain, verdict
+from lurewatch.operators.isotonic import isotonic_blocks, isotonic_knots
 from lurewatch.operators.joins import calibrate
 from lurewatch.operators.metrics import class_weights, sweep_threshold
 from lurewatch.operators.sampling import stratified_split
@@ -48,17 +48,8 @@ def raw_scores(model, df: DataFrame, features=fixed.FEATURES_V2) -> DataFrame:
 
 
 def fit_calibration(df: DataFrame, p="raw", y="label", points=201) -> DataFrame:
-    """Isotonic regression exported as a knot table on an even grid 0..1.
-
-    Equal scores are merged into one weighted row first, which fits the same
-    curve from far fewer rows.
-    """
-    merged = df.groupBy(p).agg(F.avg(F.col(y).cast("double")).alias(y), F.count("*").cast("double").alias("weight"))
-    model = IsotonicRegression(featuresCol=p, labelCol=y, weightCol="weight").fit(merged)
-    grid = df.sparkSession.range(points).select(F.col("id").alias("pos"), (F.col("id") / (points - 1)).alias(p))
-    fitted = model.transform(grid)
-    clipped = F.greatest(F.least("prediction", F.lit(1.0)), F.lit(0.0))
-    return fitted.select("pos", F.col(p).alias("x"), clipped.alias("y"))
+    """Isotonic regression exported as a knot table on an even grid 0..1; fitted in ranges, nothing goes to the driver."""
+    return isotonic_knots(isotonic_blocks(df, p, y), points)
 
 
 def choose_threshold(df: DataFrame, p="calibrated", y="label") -> float:

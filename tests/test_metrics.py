@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lurewatch.functions.calc import wilson
+from lurewatch.operators import isotonic as I
 from lurewatch.operators import joins as J
 from lurewatch.operators import metrics as M
 from lurewatch.operators import ranks as R
@@ -117,6 +118,42 @@ def test_calibration_equals_interp(spark):
     assert np.allclose(got, np.interp(p, x, y))
 
 
+def _pooled(rows):
+    """max over j <= i of min over k >= i of the mean of scores j..k"""
+    ps = sorted({p for p, _ in rows})
+    at = [[y for p, y in rows if p == v] for v in ps]
+    mean = lambda j, k: sum(map(sum, at[j:k + 1])) / sum(map(len, at[j:k + 1]))
+    return ps, [max(min(mean(j, k) for k in range(i, len(ps))) for j in range(i + 1)) for i in range(len(ps))]
+
+
+def test_isotonic_equals_max_min(spark):
+    for seed, scores in [(1, 40), (2, 12), (3, 1)]:
+        rng = random.Random(seed)
+        rows = [(rng.randrange(scores) / 40, rng.randint(0, 1)) for _ in range(300)]
+        ps, want = _pooled(rows)
+        df = spark.createDataFrame(rows + [(None, 1), (0.5, None), (float("nan"), 1), (float("inf"), 0)], "p double, y int")
+        for parts in ("1", "8", "40"):      # 40: ranges are merged in two rounds
+            old = spark.conf.get("spark.sql.shuffle.partitions")
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            try:
+                blocks = sorted(I.isotonic_blocks(df).collect(), key=lambda r: r.lo)
+            finally:
+                spark.conf.set("spark.sql.shuffle.partitions", old)
+            assert sum(b.n for b in blocks) == 300 and [b.is_last for b in blocks] == [False] * (len(blocks) - 1) + [True]
+            got = [next(b.fitted for b in blocks if b.lo <= p <= b.hi) for p in ps]
+            assert np.allclose(got, want)
+        knots = sorted(I.isotonic_knots(I.isotonic_blocks(df)).collect(), key=lambda r: r.pos)
+        assert [k.pos for k in knots] == list(range(201))
+        assert np.allclose([k.y for k in knots], np.interp([k.x for k in knots], ps, want))
+
+
+def test_isotonic_of_nothing_and_of_rising_labels(spark):
+    empty = spark.createDataFrame([], "p double, y int")
+    assert I.isotonic_blocks(empty).count() == 0 and I.isotonic_knots(I.isotonic_blocks(empty)).count() == 0
+    rising = spark.createDataFrame([(i / 100, i / 100) for i in range(101)], "p double, y double")
+    assert I.isotonic_blocks(rising).count() == 101
+
+
 def test_redirects(spark):
     edges = spark.createDataFrame([
         ("http://a.org", 301, "http://b.org", True), ("http://b.org", 302, "http://c.org", True), ("http://c.org", 302, "http://a.org", True),
