@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from checks.bind import table
 from checks.registry import query
 from lurewatch.functions import text as T
+from lurewatch.operators import vector_index as VI
 from lurewatch.operators import vectors as V
 from lurewatch.operators import windows as WN
 from lurewatch.plans import retrieval as R
+from lurewatch.session import scratch_path
 
 r6 = lambda c: F.round(c, 6)
 E = "SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings"
@@ -54,6 +56,36 @@ def ann_recall(spark, sf):
     return V.recall(V.ann(q, c, 10, lists=8, probe=4), V.knn(q, c, 10))
 
 
+@query("index_search_exact", KNN)
+def index_search_exact(spark, sf):
+    """The stored index with every cell probed."""
+    path = scratch_path(spark, "vector-index")
+    VI.build_index(corpus(spark, sf), path, lists=16)
+    return VI.search_index(query_batch(spark, sf), path, 20, probe=16).withColumn("vector_score", r6("vector_score"))
+
+
+@query("index_cells", "SELECT count(*) AS vectors FROM embeddings")
+def index_cells(spark, sf):
+    """Every row is indexed: the lengths of the cells add up to the table."""
+    path = scratch_path(spark, "vector-index")
+    VI.build_index(corpus(spark, sf), path)
+    return spark.read.parquet(f"{path}/cells").agg(F.sum("n").alias("vectors"))
+
+
+@query("index_recall")
+def index_recall(spark, sf):
+    """Recall of the stored index against exact search, probing as many cells as 0.9 takes.
+
+    Queries are the rows with vec_id divisible by 100, against all rows.
+    """
+    path, c = scratch_path(spark, "vector-index"), corpus(spark, sf)
+    VI.build_index(c, path)
+    q = c.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    probe = VI.probe_for_recall(q, path, 10, 0.9)
+    found = V.recall(VI.search_index(q, path, 10, probe), V.knn(q, c, 10))
+    return found.select("recall", F.lit(probe).alias("probe"), F.lit(spark.read.parquet(f"{path}/cells").count()).alias("cells"))
+
+
 CHUNKS = """SELECT item_id % 12 AS query_id, item_id AS doc_id, 0 AS chunk_index, CASE WHEN item_id % 3 = 0 THEN NULL ELSE 'Passage ' || item_id END AS title,
  left(text, 200) AS content, (SELECT left(text, 120) FROM benchmark WHERE item_id = 0) AS query FROM benchmark"""
 BAG = r"list_distinct(list_filter(regexp_split_to_array(lower({c}), '[\s\x0B\x1C-\x1F\x85\p{{Z}}]+'), lambda w: w <> ''))"

@@ -54,28 +54,57 @@ def _schema(corpus, id_col, query_id_type):
 
 
 class _Best:
-    """Running top k per query over batches of corpus vectors."""
+    """Running top k per query over batches of corpus vectors; the smaller id on equal scores.
+
+    Scores exist in tiles of ``TILE`` entries only.  Of a tile, the entries that are at least as good as the
+    k-th best so far, and as the k-th best of their tile, are merged with the best so far in one sort.
+    """
+
+    TILE = 1 << 21
 
     def __init__(self, n, k):
         self.k = k
         self.score = np.full((n, k), -np.inf)
         self.name = np.empty((n, k), dtype=object)
 
-    def add(self, sims, names):
-        both = np.hstack([self.score, sims])
-        labels = np.hstack([self.name, np.broadcast_to(names.astype(object), sims.shape)])
-        for r in range(len(both)):
-            # everything at least as good as the k-th best; smaller id on ties
-            edge = np.partition(both[r], -self.k)[-self.k]
-            pool = [i for i in np.flatnonzero(both[r] >= edge) if both[r][i] > -np.inf]
-            pool.sort(key=lambda i: (-both[r][i], labels[r][i]))
-            pool = pool[:self.k]
-            self.score[r], self.name[r] = -np.inf, None
-            self.score[r, :len(pool)], self.name[r, :len(pool)] = both[r][pool], labels[r][pool]
+    def add_dot(self, q, m, names, rows=None, allowed=None):
+        """Score the vectors ``m`` against ``q``, or its ``rows``; ``allowed(rows, columns)`` masks pairs."""
+        rows = np.arange(len(q)) if rows is None else rows
+        wide = min(len(m), 4096) or 1
+        tall = max(1, self.TILE // wide)
+        for top in range(0, len(rows), tall):
+            part = rows[top:top + tall]
+            for left in range(0, len(m), wide):
+                sims = q[part] @ m[left:left + wide].T
+                if allowed is not None:
+                    sims = np.where(allowed(part, slice(left, left + wide)), sims, -np.inf)
+                self._add(part, sims, names[left:left + wide])
+
+    def _add(self, part, sims, names):
+        k = self.k
+        edge = self.score[part, -1]
+        if sims.shape[1] > k:
+            edge = np.maximum(edge, np.partition(sims, -k, axis=1)[:, -k])
+        r, c = np.nonzero((sims >= edge[:, None]) & (sims > -np.inf))
+        if not len(r):
+            return
+        hit = np.unique(r)
+        held_r, held_c = np.nonzero(self.score[part[hit]] > -np.inf)
+        held = part[hit][held_r], held_c
+        row = np.concatenate([hit[held_r], r])
+        score = np.concatenate([self.score[held], sims[r, c]])
+        name = np.concatenate([self.name[held], names[c].astype(object)])
+        order = np.lexsort((pd.factorize(name, sort=True)[0], -score, row))
+        row, score, name = row[order], score[order], name[order]
+        at = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = at < k
+        self.score[part[hit]], self.name[part[hit]] = -np.inf, None
+        where = part[row[keep]], at[keep]
+        self.score[where], self.name[where] = score[keep], name[keep]
 
     def rows(self, ids, id_col):
-        out = [(ids[r], self.name[r, j], self.score[r, j]) for r in range(len(ids)) for j in range(self.k)
-               if self.score[r, j] > -np.inf]
+        r, j = np.nonzero(self.score > -np.inf)
+        out = {"query_id": [ids[i] for i in r], id_col: self.name[r, j], "vector_score": self.score[r, j]}
         return pd.DataFrame(out, columns=["query_id", id_col, "vector_score"])
 
 
@@ -89,11 +118,11 @@ def _scan(corpus, id_col, vec_col, ids, queries, k, schema, cells=None, probes=N
         for pdf in batches:
             if not len(pdf):
                 continue
-            m = _unit(pdf[vec_col])
-            sims = q @ m.T
+            m, allowed = _unit(pdf[vec_col]), None
             if cells is not None:
-                sims = np.where(probes[:, np.argmax(m @ cells.T, axis=1)], sims, -np.inf)
-            best.add(sims, pdf[id_col].to_numpy())
+                home = np.argmax(m @ cells.T, axis=1)
+                allowed = lambda rows, columns: probes[rows][:, home[columns]]
+            best.add_dot(q, m, pdf[id_col].to_numpy(), allowed=allowed)
         yield best.rows(ids, id_col)
 
     return corpus.select(id_col, vec_col).mapInPandas(search, schema)
@@ -116,7 +145,7 @@ def _blocks(queries, corpus, query_id, id_col, vec_col, k, schema, sizes):
     def search(q, c):
         best = _Best(len(q), k)
         if len(q) and len(c):
-            best.add(_unit(q["q"]) @ _unit(c[vec_col]).T, c[id_col].to_numpy())
+            best.add_dot(_unit(q["q"]), _unit(c[vec_col]), c[id_col].to_numpy())
         return best.rows(q["query_id"].to_numpy(), id_col)
 
     return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(search, schema)

@@ -12,6 +12,7 @@ from lurewatch.operators import joins as J
 from lurewatch.operators import metrics as M
 from lurewatch.operators import ranks as R
 from lurewatch.operators import sampling as S
+from lurewatch.operators import vector_index as VI
 from lurewatch.operators import vectors as V
 from lurewatch.operators import windows as WN
 
@@ -194,6 +195,59 @@ def test_knn_is_exact_in_blocks(spark, monkeypatch):
     assert V.recall(exact, V.knn(queries, corpus, 10)).first()["recall"] == 1.0
 
 
+def test_best_keeps_ties_by_id_over_tiles(monkeypatch):
+    rng = np.random.default_rng(3)
+    q, m = rng.integers(-1, 2, (9, 3)).astype(float), rng.integers(-1, 2, (500, 3)).astype(float)
+    names = rng.permutation(500)
+    monkeypatch.setattr(V._Best, "TILE", 64)
+    best = V._Best(9, 5)
+    for at in range(0, 500, 70):
+        best.add_dot(q, m[at:at + 70], names[at:at + 70])
+    sims = q @ m.T
+    want = [[int(n) for n in names[np.lexsort((names, -sims[i]))[:5]]] for i in range(9)]
+    assert [list(r) for r in best.name] == want
+
+
+def test_stored_index(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(5)
+    hubs = rng.normal(size=(12, 8))
+    c = hubs[rng.integers(0, 12, 900)] + rng.normal(size=(900, 8)) * 0.1
+    c[300:600] = c[0]       # a third of the rows are one vector
+    vec = lambda v: [float(x) for x in v]
+    corpus = spark.createDataFrame([(i, vec(v), "x") for i, v in enumerate(c)] + [(900, None, "x")],
+                                   "vec_id long, embedding array<double>, rank string").repartition(5)
+    queries = spark.createDataFrame([(i, vec(c[i])) for i in range(0, 900, 45)] + [(1, None)], "query_id long, embedding array<double>")
+    path = str(tmp_path / "index")
+    VI.build_index(corpus, path, lists=10, rows_per_file=40)
+    assert spark.read.parquet(f"{path}/cells").agg(F.sum("n")).first()[0] == 900
+    rows = lambda df: [(r.query_id, r["rank"], r.vec_id, round(r.vector_score, 9)) for r in df.orderBy("query_id", "rank").collect()]
+    truth = rows(V.knn(queries.dropna(), corpus.dropna().drop("rank"), 10))
+    assert rows(VI.search_index(queries, path, 10, probe=10)) == truth
+    some = VI.search_index(queries, path, 10, probe=3)
+    few = rows(some)
+    assert V.recall(some, V.knn(queries.dropna(), corpus.dropna().drop("rank"), 10)).first()["recall"] >= 0.9
+    enough = VI.probe_for_recall(queries, path, 10, 0.95)
+    truth_df = V.knn(queries.dropna(), corpus.dropna().drop("rank"), 10)
+    share = lambda probe: V.recall(VI.search_index(queries, path, 10, probe), truth_df).first()["recall"]
+    assert share(enough) >= 0.95 and (enough == 1 or share(enough - 1) < 0.95)
+    monkeypatch.setattr(V, "MAX_QUERY_BYTES", 300)      # query blocks against slices of cells
+    assert rows(VI.search_index(queries, path, 10, probe=3)) == few
+    assert rows(VI.search_index(queries, path, 10, probe=10)) == truth
+    assert VI.search_index(queries.filter("query_id = 1"), path).count() == 0
+    # a search reads the folders of its cells only, and a long cell is many files
+    files = lambda df: df.select("_metadata.file_path").distinct().count()
+    hot = spark.read.parquet(f"{path}/vectors").groupBy("cell").count().orderBy(F.desc("count")).first().cell
+    assert 7 <= files(VI.probed_vectors(spark, path, [hot])) < files(spark.read.parquet(f"{path}/vectors"))
+
+
+def test_index_refuses_what_it_cannot_hold(spark, tmp_path):
+    import pytest
+    row = spark.createDataFrame([(1, [1.0], 2)], "vec_id long, embedding array<double>, cell int")
+    for bad, lists in ((row, 1), (row.drop("cell"), 1 << 24), (row.drop("cell").filter("vec_id > 1"), 1)):
+        with pytest.raises(ValueError):
+            VI.build_index(bad, str(tmp_path / "i"), lists=lists)
+
+
 def test_asn_prefers_the_longest_prefix(spark):
     prefixes = spark.createDataFrame([("10.0.0.0", 8, 1), ("10.1.0.0", 16, 2), ("10.1.2.0", 24, 3), ("0.0.0.0", 0, 9)], "network string, bits int, asn int")
     df = spark.createDataFrame([("10.1.2.3",), ("10.1.9.9",), ("10.9.9.9",), ("11.0.0.1",), ("x",)], "ip string")
