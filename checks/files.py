@@ -65,6 +65,16 @@ def read_mail_corpora(spark, sf):
     return RD.read_mail_corpora(spark, paths)
 
 
+@query("read_csv_records", "SELECT CAST(doc_id AS VARCHAR) AS doc_id, lang, sha256('<' || coalesce(text, '') || '>') AS text FROM documents")
+def read_csv_records(spark, sf):
+    """Whole texts with line breaks, commas and quotes, written as CSV and put together from split lines."""
+    path = scratch_path(spark, "records")
+    text = F.concat(F.lit("<"), F.coalesce("text", F.lit("")), F.lit(">"))
+    (table(spark, sf, "documents").select("doc_id", "lang", text.alias("text"))
+     .write.option("header", True).option("escape", '"').option("quoteAll", True).csv(path))
+    return RD.read_csv_records(spark, path).select("doc_id", "lang", F.sha2("text", 256).alias("text"))
+
+
 @query("quoted_csv", "SELECT doc_id, regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text FROM documents")
 def quoted_csv(spark, sf):
     path = scratch_path(spark, "quoted")

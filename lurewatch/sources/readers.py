@@ -38,15 +38,60 @@ def read_ranked_domains(spark: SparkSession, path, cap=None, seed=42) -> DataFra
     return sample_n(urls.distinct(), "url", cap, seed) if cap else urls
 
 
-def read_mail_corpora(spark: SparkSession, paths) -> DataFrame:
+def read_csv_records(spark: SparkSession, path) -> DataFrame:
+    """CSV with a header and line breaks inside quoted fields, read by many tasks per file.
+
+    Spark splits the files at line feeds.  Whether a line begins inside a quoted field follows from the parity of
+    the quotes before it: parities of splits are summed over the splits of a file (one row each), those of
+    lines inside their split.  Lines are then put together to records, which Spark's CSV parser reads.
+
+    Quotes stand around whole fields and are doubled inside them, as CSV writers do; a single quote inside an
+    unquoted field shifts the records behind it (read such files with ``multiLine``).  Columns are strings; empty
+    fields are null, blank lines are dropped, short records are filled with null, fields beyond the header are left out.
+    Every file needs the header of the first one.  A file compressed as a whole is one split.
+    """
+    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    value = F.col("value")
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        "value", (F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))).alias("quotes"),
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seq"))
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy("file", "block").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    upto = before.rowsBetween(W.unboundedPreceding, 0)
+    skipped = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+
+    splits = lines.groupBy("file", "block").agg(F.sum("quotes").alias("quotes"))
+    splits = splits.select("file", "block", skipped("quotes").alias("open"))
+    inside = F.coalesce(F.sum("quotes").over(before), F.lit(0)) + F.col("open")
+    starts = lines.join(splits, ["file", "block"]).withColumn("starts", F.when(inside % 2 == 0, 1).otherwise(0))
+    counts = starts.groupBy("file", "block").agg(F.sum("starts").alias("starts"))
+    counts = counts.select("file", "block", skipped("starts").alias("skip"))
+    numbered = starts.join(counts, ["file", "block"]).withColumn("record", F.sum("starts").over(upto) + F.col("skip"))
+
+    joined = numbered.groupBy("file", "record").agg(
+        F.array_sort(F.collect_list(F.struct("block", "seq", "value"))).alias("lines"))
+    text = F.regexp_replace(F.concat_ws("\n", "lines.value"), "\r$", "")
+    records = joined.filter("record > 1").select(text.alias("value")).filter("value <> ''")
+    names = header.columns
+    schema = ", ".join(f"_c{i} string" for i in range(len(names)))
+    fields = records.select(F.from_csv("value", schema, {"escape": '"'}).alias("r"))
+    return fields.select(*[F.col(f"r._c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def read_mail_corpora(spark: SparkSession, paths, whole_files=False) -> DataFrame:
     """Labeled mail files with differing headers -> text, label.
 
     text_combined, else subject + body, else text; files without a label
     column are skipped.  Only the header line decides, no schema inference.
+    ``whole_files`` reads each file in one task, for files with stray quotes.
     """
     out = None
     for path in paths:
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        if whole_files:
+            df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        else:
+            df = read_csv_records(spark, path)
         have = {c.lower(): F.col(f"`{c}`") for c in df.columns}
         if "label" not in have:
             continue

@@ -1,5 +1,6 @@
 """Suffix rules, dictionaries, quantile buckets, versioned tables, hosts: against plain Python."""
 
+import csv
 import ipaddress
 import random
 from urllib.parse import urljoin
@@ -15,6 +16,7 @@ from lurewatch.operators import joins as J
 from lurewatch.operators import metrics as M
 from lurewatch.operators import ranks as R
 from lurewatch.plans.url_features import url_features_v2
+from lurewatch.sources import readers as RD
 from lurewatch.sources import versioned as VT
 
 
@@ -198,3 +200,41 @@ def test_redirects(spark):
     assert out["https://a.org/1"].redirect_chain == ["https://a.org/2", "https://b.org/3?x"]
     assert out["https://c.org/"].blocked and not out["https://a.org/1"].blocked
     assert out["https://long.org/0"].truncated and not out["https://long.org/296"].truncated
+
+
+@pytest.mark.parametrize("ending", ["\n", "\r\n"])
+def test_csv_records_over_split_borders(spark, tmp_path, ending):
+    rng = random.Random(7)
+    parts = ["", "plain", "two\nlines", 'say "hi", twice', "\n\n", '"', ",", "a\r\nb", "x" * 90, "ends\n", '"\n"', " padded "]
+    rows = [(str(i), rng.choice(parts) + rng.choice(parts), rng.choice(["0", "1"])) for i in range(300)]
+    want = []
+    for name in ("one", "two"):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator=ending)
+            writer.writerow(["id", "text", "Label"])
+            for n, row in enumerate(rows):
+                writer.writerow(row)
+                if n % 50 == 0:
+                    out.write(ending)       # a blank line
+        want += [(i, t or None, y) for i, t, y in rows]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "211")
+    try:
+        df = RD.read_csv_records(spark, str(tmp_path / "*.csv"))
+        got = [tuple(r) for r in df.collect()]
+        mails = RD.read_mail_corpora(spark, [str(tmp_path / "one.csv")]).collect()
+        assert spark.read.text(str(tmp_path / "*.csv")).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert df.columns == ["id", "text", "Label"]
+    key = lambda r: (r[0], r[1] or "", r[2])
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert sorted((r.text or "", r.label) for r in mails) == sorted((t, int(y)) for _, t, y in rows)
+    assert RD.read_mail_corpora(spark, [str(tmp_path / "one.csv")], whole_files=True).count() == 300
+
+
+def test_csv_records_short_long_and_none(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('x,y\n1\n1,2,3\n"",""\n,\n')
+    rows = RD.read_csv_records(spark, str(tmp_path / "a.csv")).collect()
+    assert sorted((r.x or "-", r.y or "-") for r in rows) == [("-", "-"), ("-", "-"), ("1", "-"), ("1", "2")]
+    (tmp_path / "b.csv").write_text("x,y\n")
+    assert RD.read_csv_records(spark, str(tmp_path / "b.csv")).count() == 0
