@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections import Counter, deque
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,12 +87,15 @@ def suppress_duplicates(scans: DataFrame, gap=GAP_SECONDS, depth=DEPTH) -> DataF
 
 # ------------------------------------------------------ streams in event order
 class InEventOrder(StatefulProcessor):
-    """Rows of a key, buffered by slot of event time, released behind the watermark.
+    """The rows of a key, folded in the order of (at, tie).
 
     Input columns: ``at`` (microseconds), ``tie``, ``row`` (JSON) and those of
-    ``carried``.  A slot's rows are sorted by (at, tie) and folded when the
-    watermark has passed the slot's end, whatever batch or micro-batch brought
-    them; memory holds one Arrow batch or one slot of a key, never a whole key.
+    ``carried``; a micro-batch brings the rows of the slots that the watermark
+    has passed, so all its rows are later than those of earlier micro-batches.
+    They are sorted and folded at once; beyond ``held`` rows of a key they are
+    first dealt into ranges of time in the state, so a task holds ``held`` rows
+    and one Arrow batch (or the rows of one time), never a whole key.  The state
+    is called per key and per piece of many rows, not per row or slot.
     ``memory`` is what ``fold`` knows of earlier rows; entries that can no
     longer matter are dropped by a timer, so an idle key leaves no state.
     """
@@ -98,47 +103,88 @@ class InEventOrder(StatefulProcessor):
     carried: tuple = ()
     memory_schema: str = ""
 
-    def __init__(self, slot_seconds=10):
-        self.slot = slot_seconds * 1_000_000
+    def __init__(self, slot_seconds=10, held=200_000, ranges=64):
+        self.slot, self.held, self.ranges = int(slot_seconds * 1_000_000), held, ranges
 
     def init(self, handle):
         self.handle = handle
-        names = ("at long, tie long, row string", *(f"{c} string" for c in self.carried))
-        self.buffer = handle.getMapState("buffer", "slot long", f"rows array<struct<{_struct(', '.join(names))}>>")
         self.memory = handle.getListState("memory", self.memory_schema)
+        self.pieces = handle.getMapState("pieces", "range string, piece long", "rows binary")
 
     def handleInputRows(self, key, rows, timerValues):
+        memory = [tuple(r) for r in self.memory.get()] if self.memory.exists() else []
         names = ["at", "tie", "row", *self.carried]
-        for pdf in rows:
-            pdf = pdf[names].astype(object).where(pdf[names].notna(), None)
-            for slot, part in pdf.groupby(pdf["at"].astype("int64") // self.slot * self.slot):
-                slot = int(slot)
-                held = self.buffer.getValue((slot,))[0] if self.buffer.containsKey((slot,)) else []
-                new = [(int(at), int(tie), *rest) for at, tie, *rest in part.itertuples(index=False, name=None)]
-                self.buffer.updateValue((slot,), ([*(tuple(r) for r in held), *new],))
-                self.handle.registerTimer((slot + self.slot) // 1000)
-        return iter(())
+        for part in self._in_order(pdf[names] for pdf in rows):
+            kept, memory = self.fold(memory, part)
+            if len(kept):
+                yield pd.DataFrame({"row": part["row"].to_numpy()[kept]}, dtype=object)
+        self._remember(memory)
+
+    def _in_order(self, parts, name=""):
+        """The rows as sorted frames, each later than the one before."""
+        held, n, limit, borders, dealt = [], 0, self.held, None, Counter()
+        for pdf in parts:
+            held.append(pdf)
+            n += len(pdf)
+            if n > limit:
+                pdf = pd.concat(held, ignore_index=True)
+                borders = self._borders(pdf) if borders is None else borders
+                if borders is None:  # one time only so far
+                    held, limit = [pdf], 2 * n
+                else:
+                    self._deal(pdf, borders, name, dealt)
+                    held, n, limit = [], 0, self.held
+        if n:
+            pdf, held = pd.concat(held, ignore_index=True), None
+            borders = self._borders(pdf) if borders is None and n > self.held else borders
+            if borders is None:
+                yield pdf.iloc[np.lexsort((pdf["tie"], pdf["at"]))]
+                return
+            self._deal(pdf, borders, name, dealt)
+        pdf = None
+        for i in sorted(dealt):
+            child = f"{name}/{i}"
+            yield from self._in_order((self._taken(child, j) for j in range(dealt[i])), child)
+
+    def _borders(self, pdf):
+        """First times of the ranges after the first one; None if all rows have one time."""
+        at = np.sort(pdf["at"].to_numpy())
+        if at[0] == at[-1]:
+            return None
+        borders = np.unique(at[np.arange(1, self.ranges) * len(at) // self.ranges])
+        borders = borders[borders > at[0]]
+        return borders if len(borders) else np.array([at[0] + 1])
+
+    def _deal(self, pdf, borders, name, dealt):
+        for i, part in pdf.groupby(np.searchsorted(borders, pdf["at"].to_numpy(), side="right")):
+            table = pa.Table.from_pandas(part, preserve_index=False)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, table.schema) as out:
+                out.write_table(table)
+            self.pieces.updateValue((f"{name}/{i}", dealt[i]), (sink.getvalue().to_pybytes(),))
+            dealt[i] += 1
+
+    def _taken(self, name, piece):
+        (data,) = self.pieces.getValue((name, piece))
+        self.pieces.removeKey((name, piece))
+        return pa.ipc.open_stream(bytes(data)).read_pandas()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         end = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        slot = end - self.slot
         memory = [tuple(r) for r in self.memory.get()] if self.memory.exists() else []
-        kept = []
-        if self.buffer.containsKey((slot,)):
-            rows = sorted((tuple(r) for r in self.buffer.getValue((slot,))[0]), key=lambda r: r[:2])
-            self.buffer.removeKey((slot,))
-            kept, memory = self.fold(memory, rows)
-        memory = [m for m in memory if self.expires(m) > end]
+        self._remember([m for m in memory if self.expires(m) > end])
+        return iter(())
+
+    def _remember(self, memory):
         if memory:
             self.memory.put(memory)
             # on a slot's end: all rows before it are folded when the timer fires
             self.handle.registerTimer(-(-self.expires(memory[-1]) // self.slot) * self.slot // 1000)
         else:
             self.memory.clear()
-        yield pd.DataFrame({"row": kept}, dtype=object)
 
     def fold(self, memory, rows):
-        """The JSON of the rows that are given out, and the memory after them."""
+        """Positions of the sorted rows that are given out, and the memory after them."""
         raise NotImplementedError
 
     def expires(self, entry):
@@ -149,24 +195,26 @@ class InEventOrder(StatefulProcessor):
         pass
 
 
-def _struct(ddl):
-    return ", ".join(f"{name}: {kind}" for name, kind in (part.split() for part in ddl.split(", ")))
-
-
 JSON_TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
 def in_event_order(rows: DataFrame, processor: InEventOrder, by, ts, tie, delay, **carried) -> DataFrame:
     """Run a processor per key on a stream; the result has the columns of ``rows``.
 
-    Rows later than ``delay`` behind the newest time are dropped (watermark),
-    rows younger than that are given out once the watermark passes them.  Rows
-    without a time or key take no part.  Needs the RocksDB state store.
+    Rows wait in an aggregation by key and slot of event time until the
+    watermark has passed the slot.  Rows later than ``delay`` behind the newest
+    time are dropped if their slot is closed (watermark), rows younger than that
+    are given out once the watermark passes their slot.  Rows without a time or
+    key take no part.  Needs the RocksDB state store.
     """
-    packed = rows.withWatermark(ts, delay).filter(F.col(ts).isNotNull()).select(
-        F.col(by).alias("_key"), F.col(ts), micros(ts).alias("at"), F.coalesce(F.col(tie), F.lit(0)).cast("long").alias("tie"),
+    known = rows.withWatermark(ts, delay).filter(F.col(ts).isNotNull()).withColumn("_key", by)
+    slots = known.filter(F.col("_key").isNotNull()).groupBy("_key", F.window(ts, f"{processor.slot} microseconds")).agg(
+        F.collect_list(F.struct(*rows.columns)).alias("_rows"))
+    closed = slots.select("_key", F.window_time("window").alias("_closed"), F.explode("_rows").alias("_row"))
+    packed = closed.select("_key", "_closed", "_row.*").select(
+        "_key", "_closed", micros(ts).alias("at"), F.coalesce(F.col(tie), F.lit(0)).cast("long").alias("tie"),
         F.to_json(F.struct(*rows.columns), JSON_TIME).alias("row"), *(c.cast("string").alias(n) for n, c in carried.items()))
-    kept = packed.filter(F.col("_key").isNotNull()).groupBy("_key").transformWithStateInPandas(
+    kept = packed.groupBy("_key").transformWithStateInPandas(
         processor, outputStructType="row string", outputMode="Append", timeMode="EventTime")
     return kept.select(F.from_json("row", rows.schema, JSON_TIME).alias("r")).select("r.*")
 
@@ -178,17 +226,19 @@ class KeepNewScans(InEventOrder):
     carried = ("source", "head")
     memory_schema = "source string, head string, at long"
 
-    def __init__(self, gap=GAP_SECONDS, depth=DEPTH, slot_seconds=10):
-        super().__init__(slot_seconds)
+    def __init__(self, gap=GAP_SECONDS, depth=DEPTH, slot_seconds=10, **limits):
+        super().__init__(slot_seconds, **limits)
         self.gap, self.depth = gap * 1_000_000, depth
 
     def fold(self, memory, rows):
         saved, kept = deque(memory, maxlen=self.depth), []
-        for at, _, row, source, head in rows:
+        texts = rows[["source", "head"]].astype(object)
+        texts = texts.where(texts.notna(), None)
+        for i, (at, source, head) in enumerate(zip(rows["at"].tolist(), texts["source"], texts["head"])):
             if _keep(saved, source, head, at, self.gap):
                 saved.append((source, head, at))
-                kept.append(row)
-        return kept, list(saved)
+                kept.append(i)
+        return kept, [s for s in saved if self.expires(s) > at]
 
     def expires(self, entry):
         return entry[2] + self.gap
@@ -197,7 +247,7 @@ class KeepNewScans(InEventOrder):
 def suppress_duplicates_stream(scans: DataFrame, gap=GAP_SECONDS, depth=DEPTH, delay="10 minutes") -> DataFrame:
     """Streaming form of ``suppress_duplicates``: the same scans, in time order,
     also when a user's scans arrive mixed over several micro-batches."""
-    return in_event_order(scans, KeepNewScans(gap, depth), "user_id", "created_at", "id", delay,
+    return in_event_order(scans, KeepNewScans(gap, depth), F.col("user_id"), "created_at", "id", delay,
                           source=F.col("source"), head=content_head())
 
 
@@ -207,16 +257,17 @@ class MissedKeys(InEventOrder):
 
     memory_schema = "at long"
 
-    def __init__(self, ttl_hours=24, slot_seconds=60):
-        super().__init__(slot_seconds)
+    def __init__(self, ttl_hours=24, slot_seconds=60, **limits):
+        super().__init__(slot_seconds, **limits)
         self.ttl = ttl_hours * 3_600_000_000
 
     def fold(self, memory, rows):
-        kept = []
-        for at, _, row in rows:
-            if not memory or at >= self.expires(memory[0]):
-                memory = [(at,)]
-                kept.append(row)
+        kept, at = [], rows["at"].to_numpy()
+        i = np.searchsorted(at, self.expires(memory[0])) if memory else 0
+        while i < len(at):
+            kept.append(i)
+            memory = [(int(at[i]),)]
+            i = max(i + 1, np.searchsorted(at, self.expires(memory[0])))
         return kept, memory
 
     def expires(self, entry):
@@ -229,8 +280,7 @@ def cache_misses_stream(requests: DataFrame, ttl_hours=24, c="url", ts="ts", tie
     A miss caches its key at the time of the request; the entry leaves the
     state when the watermark passes its end.
     """
-    keyed = requests.withColumn("_cache_key", cache_key(c))
-    return in_event_order(keyed, MissedKeys(ttl_hours), "_cache_key", ts, tie, delay).drop("_cache_key")
+    return in_event_order(requests, MissedKeys(ttl_hours), cache_key(c), ts, tie, delay)
 
 
 def stale_keys(requests: DataFrame, store: DataFrame, now, ttl_hours=24, c="url") -> DataFrame:

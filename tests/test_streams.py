@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks import bind
@@ -135,6 +136,117 @@ def test_cache_misses_stream(spark):
     assert left == run_parts(spark, [end[:1], end[1:]], "id long, url string, ts timestamp", job, "t-no-misses")[1]
 
 
+def misses_in_order(rows, hours=24):
+    cached, missed = {}, []
+    for i, url, ts in sorted(rows, key=lambda r: (r[2], r[0])):
+        if url not in cached or ts - cached[url] >= timedelta(hours=hours):
+            cached[url] = ts
+            missed.append(i)
+    return sorted(missed)
+
+
+class Calls:
+    """A handle that keeps the state of one key and counts the calls."""
+
+    def __init__(self):
+        self.n, self.timers = 0, set()
+
+    def getListState(self, name, schema):
+        return State(self, [])
+
+    def getMapState(self, name, key, value):
+        return State(self, {})
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+
+class State:
+    def __init__(self, calls, held):
+        self.calls, self.held = calls, held
+
+    def __getattribute__(self, name):
+        if name not in ("calls", "held"):
+            self.calls.n += 1
+        return super().__getattribute__(name)
+
+    def exists(self):
+        return bool(self.held)
+
+    def get(self):
+        return iter(self.held)
+
+    def put(self, values):
+        self.held = list(values)
+
+    def clear(self):
+        self.held = type(self.held)()
+
+    def containsKey(self, key):
+        return key in self.held
+
+    def getValue(self, key):
+        return self.held[key]
+
+    def updateValue(self, key, value):
+        self.held[key] = value
+
+    def removeKey(self, key):
+        del self.held[key]
+
+
+def frames(ats, size):
+    rows = pd.DataFrame({"at": ats, "tie": range(len(ats)), "row": [str(i) for i in range(len(ats))]})
+    return [rows[i:i + size] for i in range(0, len(rows), size)]
+
+
+def test_state_calls_do_not_grow_with_slots():
+    """4,000 rows of a key in as many slots: a few calls a key, not some for each slot."""
+    minute = 60_000_000
+    ats = [i * minute for i in random.Random(8).sample(range(4000), 4000)]
+    calls, processor = Calls(), S.MissedKeys(24)
+    processor.init(calls)
+    list(processor.handleInputRows(("k",), iter(frames(ats, 500)), None))
+    assert calls.n < 20 and len(calls.timers) == 1
+
+
+def test_many_rows_of_a_key_are_sorted_in_bounded_pieces():
+    """Spilled rows come in order, in frames of bounded length, also where most lie in little time; no piece stays."""
+    rng = random.Random(9)
+    ats = [rng.choice([5, 1000 + rng.randrange(300), rng.randrange(10**9)]) for _ in range(6000)]
+    for order in (ats, sorted(ats), sorted(ats, reverse=True), [5] * 700 + ats):
+        calls, processor = Calls(), S.MissedKeys(24, held=300, ranges=8)
+        processor.init(calls)
+        parts = list(processor._in_order(iter(frames(order, 100))))
+        got = [pair for p in parts for pair in zip(p["at"].tolist(), p["tie"].tolist())]
+        assert got == sorted(zip(order, range(len(order))))
+        assert all(len(p) <= 300 or p["at"].nunique() == 1 for p in parts)
+        assert not processor.pieces.held
+
+
+def test_cache_misses_stream_of_a_key_with_more_rows_than_are_held(spark):
+    rng = random.Random(10)
+    rows = [(i, rng.choice("aab"), T0 + timedelta(minutes=rng.randint(0, 9000))) for i in range(900)]
+    end = [(-1, "end", T0 + timedelta(days=100))]
+    processor = S.MissedKeys(24, held=100, ranges=4)
+    job = lambda s: S.in_event_order(s, processor, F.col("url"), "ts", "id", "10 minutes")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "40")
+    try:
+        out = run_stream(spark, spark.createDataFrame([*rows, *end], "id long, url string, ts timestamp").coalesce(1), job, "t-held")
+        assert sorted(r.id for r in out.collect()) == misses_in_order(rows)
+    finally:
+        spark.conf.set(size, before)
+
+
+def test_misses_without_a_ttl_are_all_requests():
+    for ttl in (0, -1):
+        processor = S.MissedKeys(ttl)
+        assert processor.fold([], frames([1, 1, 2], 3)[0])[0] == [0, 1, 2]
+
+
 def closed(batch, stream, key):
     """All closed windows of the stream are in the batch result, and most of it."""
     a, b = {tuple(r) for r in batch.collect()}, {tuple(r) for r in stream.collect()}
